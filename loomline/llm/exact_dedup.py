@@ -50,7 +50,7 @@ def group_copies(rows: DataFrame, text: str = "text", order: str = "doc_id") ->
         here = active.select(*own, group, F.substring(norm, start + 1, width).alias(digit), F.octet_length(norm).alias(length))
         groups = here.groupBy(F.col(group).alias("g"), F.col(digit).alias("d"), F.col(length).alias("n")).agg(F.count("*").alias("c")).where("c > 1")
         groups = stage_table(groups.withColumn("next", F.monotonically_increasing_id() * 64 + round_), "radix-groups")
-        matched = here.join(groups, (F.col(group) == F.col("g")) & (F.col(digit) == F.col("d")) & (F.col(length) == F.col("n")), "left")
+        matched = here.join(groups.hint("merge"), (F.col(group) == F.col("g")) & (F.col(digit) == F.col("d")) & (F.col(length) == F.col("n")), "left")
         split = stage_table(
             matched.select(*own, F.col("next").alias(group), F.coalesce("c", F.lit(1)).cast("long").alias(count), F.monotonically_increasing_id().alias(uid), (F.col(length) <= start + width).alias(ended)),
             "radix-rows",
@@ -61,6 +61,7 @@ def group_copies(rows: DataFrame, text: str = "text", order: str = "doc_id") ->
         if active.isEmpty():
             break
         round_ += 1
+    # the joins above are merge joins at every size: their plan, and what they shuffle, follows the input alone
     alone = [s.where(F.col(count) == 1).select(*own, F.col(f"`{order}`").alias(keep), F.col(count).alias(size), F.lit(True).alias(kept)) for s in seen]
     equal = reduce(DataFrame.unionAll, [s.where((F.col(count) > 1) & F.col(ended)) for s in seen])
     best = stage_table(equal.groupBy(F.col(group).alias("g")).agg(F.max(F.struct(F.col(f"`{order}`").alias("o"), F.col(uid).alias("u"))).alias("best")), "radix-best")
