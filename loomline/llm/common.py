@@ -84,6 +84,13 @@ def fresh(names: Iterable[str], wanted: str) -> str:
     return wanted
 
 
+def masked(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
+    """df with its columns under names that no operator uses, and what maps a column's own name to its new one."""
+    names = [f"own{i}_of_rows" for i in range(len(df.columns))]
+    by = dict(zip(df.columns, names))
+    return df.toDF(*names), by.__getitem__
+
+
 def append_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[list[str]], list]]) -> DataFrame:
     """df with more columns worked out from the texts in Arrow batches; nothing is shuffled.
 

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, drop_table, fresh, stage_table
+from .common import ascii_lower, drop_table, fresh, masked, stage_table
 
 #: Bytes of the first digits; later ones are sixteen times the one before.
 DIGITS = (64, 1024)
@@ -40,10 +40,12 @@ def group_copies(rows: DataFrame, text: str = "text", order: str = "doc_id") ->
 
     Where a column of rows has one of these names, the new one gets underscores at its end (see `new_names`).
     """
-    keep, size, kept = new_names(rows)
-    group, count, uid, ended, digit, length = (fresh(rows.columns, f"radix_{n}") for n in ("group", "count", "uid", "ended", "digit", "length"))
-    own = [F.col(f"`{c}`") for c in rows.columns]
-    norm = ascii_lower(F.col(f"`{text}`")).cast("binary")
+    names = [*rows.columns, *new_names(rows)]
+    rows, name = masked(rows)
+    text, order = name(text), name(order)
+    keep, size, kept, group, count, uid, ended, digit, length = "keep", "size", "kept", "group", "count", "uid", "ended", "digit", "length"
+    own = [F.col(c) for c in rows.columns]
+    norm = ascii_lower(F.col(text)).cast("binary")
     active, seen, round_ = rows.withColumn(group, F.lit(-1).cast("long")), [], 0
     while True:
         start, width = _digit(round_)
@@ -62,11 +64,11 @@ def group_copies(rows: DataFrame, text: str = "text", order: str = "doc_id") ->
             break
         round_ += 1
     # the joins above are merge joins at every size: their plan, and what they shuffle, follows the input alone
-    alone = [s.where(F.col(count) == 1).select(*own, F.col(f"`{order}`").alias(keep), F.col(count).alias(size), F.lit(True).alias(kept)) for s in seen]
+    alone = [s.where(F.col(count) == 1).select(*own, F.col(order).alias(keep), F.col(count).alias(size), F.lit(True).alias(kept)) for s in seen]
     equal = reduce(DataFrame.unionAll, [s.where((F.col(count) > 1) & F.col(ended)) for s in seen])
-    best = stage_table(equal.groupBy(F.col(group).alias("g")).agg(F.max(F.struct(F.col(f"`{order}`").alias("o"), F.col(uid).alias("u"))).alias("best")), "radix-best")
+    best = stage_table(equal.groupBy(F.col(group).alias("g")).agg(F.max(F.struct(F.col(order).alias("o"), F.col(uid).alias("u"))).alias("best")), "radix-best")
     copies = equal.join(best, F.col(group) == F.col("g")).select(*own, F.col("best.o").alias(keep), F.col(count).alias(size), (F.col("best.u") == F.col(uid)).alias(kept))
-    return reduce(DataFrame.unionAll, [*alone, copies])
+    return reduce(DataFrame.unionAll, [*alone, copies]).toDF(*names)
 
 
 def new_names(rows: DataFrame) -> tuple[str, str, str]:

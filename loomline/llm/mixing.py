@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, masked
 
 #: The stream of sources without a ticket of their own.
 REST = "*"
@@ -78,10 +78,11 @@ def mix(documents: DataFrame, tickets: Mapping[str, int], block: int = BLOCK, so
     if any(not isinstance(w, int) or w < 1 for w in tickets.values()):
         raise ValueError("tickets are whole numbers of one or more")
     tickets = {REST: 1, **tickets}
-    stream, number, slot, place = mixing_names(documents)
-    hashed, bucket, before = (fresh(documents.columns, f"mixing_{n}") for n in ("hash", "bucket", "before"))
-    of = _stream(tickets, F.col(f"`{source}`"))
-    digest = F.xxhash64(F.col(f"`{key}`"))
+    names = [*documents.columns, *mixing_names(documents)]
+    documents, name = masked(documents)
+    stream, number, slot, place, hashed, bucket, before, key = "stream", "block_no", "slot", "place", "hashed", "bucket", "before", name(key)
+    of = _stream(tickets, F.col(name(source)))
+    digest = F.xxhash64(key)
     bucketed = F.pmod(digest, F.lit(BUCKETS)).cast("int")
     sizes = documents.select(of.alias("s"), bucketed.alias("b")).groupBy("s", "b").count()
     counts = {r["s"]: r["n"] for r in sizes.groupBy("s").agg(F.sum("count").alias("n")).collect()}  # one row a stream, of which there are as many as tickets
@@ -89,16 +90,16 @@ def mix(documents: DataFrame, tickets: Mapping[str, int], block: int = BLOCK, so
     plan_df = spark.createDataFrame(plan, "phase int, ps string, first long, n long, start long, total long, a long")
     places_df = spark.createDataFrame(places, "qphase int, qs string, j long, x long")
     ahead = sizes.select("s", "b", (F.sum("count").over(W.partitionBy("s").orderBy("b")) - F.col("count")).alias(before))
-    own = [F.col(f"`{c}`") for c in documents.columns]
+    own = documents.columns
     rows = documents.select(*own, of.alias(stream), bucketed.alias(bucket), digest.alias(hashed))
-    rows = rows.withColumn("mixing_rn", F.row_number().over(W.partitionBy(stream, bucket).orderBy(hashed, F.col(f"`{key}`"))) - 1)
+    rows = rows.withColumn("mixing_rn", F.row_number().over(W.partitionBy(stream, bucket).orderBy(hashed, key)) - 1)
     rows = rows.join(ahead, (F.col(stream) == F.col("s")) & (F.col(bucket) == F.col("b")))
     at = F.col("mixing_rn") + F.col(before)
     rows = rows.withColumn(number, F.floor(at / block).cast("long")).withColumn(place, F.pmod(at, F.lit(block)).cast("long"))
     inside = F.col(number) - F.col("first")
     rows = rows.join(F.broadcast(plan_df), (F.col(stream) == F.col("ps")) & (F.col(number) >= F.col("first")) & (inside < F.col("n")))
     rows = rows.join(F.broadcast(places_df), (F.col("phase") == F.col("qphase")) & (F.col(stream) == F.col("qs")) & (F.pmod(inside, F.col("a")) == F.col("j")))
-    return rows.select(*own, stream, number, (F.col("start") + F.floor(inside / F.col("a")).cast("long") * F.col("total") + F.col("x")).alias(slot), place)
+    return rows.select(*own, stream, number, (F.col("start") + F.floor(inside / F.col("a")).cast("long") * F.col("total") + F.col("x")).alias(slot), place).toDF(*names)
 
 
 def mixing_names(documents: DataFrame) -> tuple[str, str, str, str]:

@@ -20,11 +20,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, ascii_lower, bounded_batches, drop_table, fresh, stage_table
+from .common import append_columns, bounded_batches, drop_table, masked, stage_table
 from .components import components
 
 RADIUS, BLOCKS, SHARD, LEVELS, SEED, SHINGLE = 3, 4, 1024, 4, 42, 3
@@ -51,13 +51,13 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     return int(np.packbits(set_ * 2 > len(values), bitorder="little").view("<i8")[0])
 
 
-def with_fingerprint(documents: DataFrame, name: str) -> DataFrame:
+def with_fingerprint(documents: DataFrame, name: str, text: str = "text") -> DataFrame:
     bounded_batches(documents.sparkSession)
 
     def make() -> Callable[[list[str]], list]:
         return lambda texts: [[fingerprint(t) for t in texts]]
 
-    return append_columns(documents, "text", [T.StructField(name, T.LongType())], make)
+    return append_columns(documents, text, [T.StructField(name, T.LongType())], make)
 
 
 class BKTree:
@@ -220,10 +220,9 @@ def simhash(documents: DataFrame) -> DataFrame:
 
 def drop_near_copies(documents: DataFrame) -> DataFrame:
     """The document with the least doc_id of each component (one row of it), all columns as they are."""
-    fp, row = fresh(documents.columns, "simhash_fp"), fresh(documents.columns, "simhash_row")
-    own = [F.col(f"`{c}`") for c in documents.columns]
-    marked = stage_table(with_fingerprint(documents, fp).withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
-    slim = marked.select(F.col("doc_id").alias("doc"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    rows, name = masked(documents)
+    marked = stage_table(with_fingerprint(rows, "fp", name("text")).withColumn("row", F.monotonically_increasing_id()), "simhash-docs")
+    slim = marked.select(F.col(name("doc_id")).alias("doc"), "fp", "row")
     found = classes(slim).withColumnRenamed("fp", "other")
     best = slim.join(found, F.col("fp") == F.col("other")).groupBy("root").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "row")).getField("row").alias("kept"))
-    return marked.join(best, F.col(row) == F.col("kept"), "left_semi").select(*own)
+    return marked.join(best, F.col("row") == F.col("kept"), "left_semi").select(*rows.columns).toDF(*documents.columns)
