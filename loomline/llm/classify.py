@@ -36,6 +36,8 @@ class Spec:
     held_out: int
     keep: int
     cost: float = 0.1
+    #: Errors that a bucket's log-count ratio must be away from zero.
+    least_z: float = 2.5
     #: Most labelled rows of each class that are learnt from.
     per_class: int = 4000
 
@@ -81,7 +83,7 @@ def train(documents: DataFrame, labels: DataFrame, spec: Spec) -> linear.Model:
     bucket, n0, n1 = (got.column(k).to_numpy() for k in ("bucket", "n0", "n1"))
     neg, pos = np.zeros(size), np.zeros(size)
     neg[bucket[bucket >= 0]], pos[bucket[bucket >= 0]] = n0[bucket >= 0], n1[bucket >= 0]
-    column, ratio = linear.select(pos, neg, int(n1[bucket < 0].sum()), int(n0[bucket < 0].sum()), spec.keep)
+    column, ratio = linear.select(pos, neg, int(n1[bucket < 0].sum()), int(n0[bucket < 0].sum()), spec.keep, least_z=spec.least_z)
     wanted = documents.sparkSession.sparkContext.broadcast(column)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -176,11 +176,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -60, 60)))
 
 
-def select(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, keep: int, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket -> column, ratio of each column): the `keep` buckets whose ratio is largest against its error."""
+def select(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, keep: int, least: int = 3, least_z: float = 2.5) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket -> column, ratio of each column): at most `keep` buckets, those whose ratio is largest against its error.
+
+    A ratio of under least_z errors is left out, so that few labelled rows give few columns.
+    """
     ratio = log_count_ratio(pos, neg, n_pos, n_neg)
     z = np.abs(ratio) / np.sqrt(1 / (pos + 1) + 1 / (neg + 1))
-    z[pos + neg < least] = 0
+    z[(pos + neg < least) | (z < least_z)] = 0
     best = np.sort(np.argsort(-z, kind="stable")[: min(keep, int((z > 0).sum()))])
     column = np.full(len(pos), -1, np.int32)
     column[best] = np.arange(len(best), dtype=np.int32)
