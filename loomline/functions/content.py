@@ -85,3 +85,23 @@ def directory_key(path: Column, root: str = "") -> Column:
     if root:
         path = F.when(path.startswith(f"{root}/"), F.substring(path, len(root) + 2, 1 << 30)).otherwise(path)
     return F.when(F.instr(path, "/") > 0, F.split(path, "/")[0]).otherwise(F.lit("(root)"))
+
+
+def is_hidden(path: Column) -> Column:
+    """Some component of the path begins with a dot."""
+    return F.exists(F.split(path, "/"), lambda c: c.startswith("."))
+
+
+def depth(path: Column) -> Column:
+    """Components of a path below the root, which has depth 0."""
+    return F.size(F.split(path, "/"))
+
+
+def matches_glob(path: Column, globs: list[str]) -> Column:
+    """Some exclude glob matches the path; one without a slash matches names at any depth."""
+    from ..sources.ignore import glob_regex
+
+    found = F.lit(False)
+    for g in (g.lstrip("!").rstrip("/") for g in globs):
+        found = found | path.rlike(("^(?:.*/)?" if "/" not in g else "^") + glob_regex(g.lstrip("/")) + "(?:/.*)?$")
+    return found

@@ -118,3 +118,19 @@ def merge(parts: list[DataFrame], key: str = "name") -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.groupBy(key).agg(saturating_sum("files").alias("files"), saturating_sum("lines").alias("lines"), *(saturating_sum(m).alias(m) for m in MEASURES), saturating_sum("size").alias("size"))
+
+
+def kinds(groups: DataFrame, key: str = "name") -> DataFrame:
+    """key, kind, lines and percent: one row for each kind of line that a group has."""
+    each = F.array(*(F.struct(F.lit(m.removesuffix("_lines")).alias("kind"), F.col(m).alias("n"), percentage(F.col(m), F.col("lines")).alias("percent")) for m in MEASURES))
+    return groups.select(key, F.explode(F.filter(each, lambda k: k["n"] > 0)).alias("k")).select(key, "k.kind", F.col("k.n").alias("lines"), "k.percent")
+
+
+def summary_metrics(total: DataFrame) -> DataFrame:
+    """The seven rows of a summary: label, value, percentage (of lines, else null) and readable size (else null)."""
+    none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    rows = [("Total Files", "files", none, text), ("Total Lines", "lines", none, text)]
+    rows += [(f"{m.removesuffix('_lines').title()} Lines", m, percentage(F.col(m), F.col("lines")), text) for m in MEASURES]
+    rows.append(("Total Size", "size", none, size(F.col("size"))))
+    each = F.array(*(F.struct(F.lit(label).alias("label"), F.col(c).alias("value"), p.alias("percentage"), t.alias("human_readable")) for label, c, p, t in rows))
+    return total.select(F.explode(each).alias("r")).select("r.*")

@@ -386,3 +386,90 @@ def c19_native(spark, sf_dir):
     best = detect.disambiguate(text, _languages())
     name = F.element_at(F.array(*(F.lit(x.name) for x in _languages())), F.col("lang_idx") + 1)
     return best.select(F.regexp_extract("rel_path", r"/(\d+)\.c$", 1).cast("long").alias("user_id"), name.alias("lang"))
+
+
+@query(f"""{_BY_DIR}, k AS (SELECT name, unnest([{{'kind': 'code', 'n': code_lines}}, {{'kind': 'comment', 'n': comment_lines}}, {{'kind': 'blank', 'n': blank_lines}}, {{'kind': 'shebang', 'n': shebang_lines}}]) AS k, lines AS t FROM g)
+SELECT name, k.kind AS kind, k.n AS lines, k.n::DOUBLE / t::DOUBLE * 100.0 AS percent FROM k WHERE k.n > 0""")
+def b14_kinds_present(spark, sf_dir):
+    return A.kinds(A.by_directory(corpus_stats(spark, sf_dir)))
+
+
+@query(f"""{_STATS}, g AS (SELECT {_SUMS} FROM stats)
+SELECT 'Total Files' AS label, files AS value, NULL::DOUBLE AS percentage, NULL::VARCHAR AS human_readable FROM g
+UNION ALL SELECT 'Total Lines', lines, NULL, NULL FROM g UNION ALL SELECT 'Code Lines', code_lines, {_PCT.format('code_lines')}, NULL FROM g
+UNION ALL SELECT 'Comment Lines', comment_lines, {_PCT.format('comment_lines')}, NULL FROM g UNION ALL SELECT 'Blank Lines', blank_lines, {_PCT.format('blank_lines')}, NULL FROM g
+UNION ALL SELECT 'Shebang Lines', shebang_lines, {_PCT.format('shebang_lines')}, NULL FROM g UNION ALL SELECT 'Total Size', size, NULL, {_HUMAN} FROM g""")
+def c37_summary_metrics(spark, sf_dir):
+    return A.summary_metrics(A.totals(corpus_stats(spark, sf_dir)))
+
+
+@query("SELECT user_id, (event_id % 4 = 0) AS first FROM (SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id)")
+def c14_shebang_line(spark, sf_dir):
+    """Files whose first line is a shebang of their language, by the native fold."""
+    first = tables.read(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+    line = F.when(F.col("event_id") % 4 == 0, "#! /usr/bin/env python3 -u").otherwise("#!/bin/unknown")
+    kinds = lines.classify(F.array(line, F.lit("#!/usr/bin/python")), _named("Python"))
+    return first.select("user_id", (F.get(kinds, F.lit(0)) == "shebang").alias("first"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+k AS (SELECT doc_id, CASE WHEN NOT regexp_matches(line, '[^ \t\n\r\x0B\x0C]') THEN 'blank' WHEN regexp_matches(regexp_extract(line || ' ', '^(.*?)the([^A-Za-z0-9_]|$)', 1), '[^ \t\n\r\x0B\x0C]') THEN 'code'
+  WHEN regexp_matches(line, 'the([^A-Za-z0-9_]|$)') THEN 'comment' ELSE 'code' END AS kind FROM l)
+SELECT doc_id, count(*) FILTER (kind = 'comment') AS comments, count(*) FILTER (kind = 'code') AS code FROM k GROUP BY doc_id""")
+def c13_word_boundary(spark, sf_dir):
+    """Lines of documents under a made-up syntax whose comments begin with the word `the`."""
+    made_up = catalog.Language(0, "X", ("*.x",), ("the",))
+    kinds = tables.read(spark, sf_dir, "documents").select("doc_id", lines.classify(F.split("text", "\n"), made_up).alias("k"))
+    count = lambda k: F.size(F.filter("k", lambda x: x == k)).cast("long")
+    return kinds.select("doc_id", count("comment").alias("comments"), count("code").alias("code"))
+
+
+_SYMBOLS = "(length(text) - length(replace(text, '%', '')) + length(text) - length(replace(text, '&', '')))"
+
+
+@query(rf"""SELECT doc_id, (CASE WHEN regexp_matches(text, '[A-Za-z0-9_]') AND 2 * {_SYMBOLS} < length(regexp_replace(text, '\s', '', 'g')) THEN 0 ELSE 10 * {_SYMBOLS} END)::INT AS score FROM documents""")
+def c18_symbol_guard(spark, sf_dir):
+    made_up = catalog.Language(0, "X", ("*.x",), keywords=("%", "&"))
+    return tables.read(spark, sf_dir, "documents").select("doc_id", detect.score(F.col("text"), made_up).alias("score"))
+
+
+@query(f"WITH {_FILES} SELECT rel_path FROM files WHERE len(string_split(rel_path, '/')) <= 2")
+def b5_max_depth(spark, sf_dir):
+    files = corpus(spark, sf_dir)
+    return files.where(C.depth(F.col("rel_path")) <= 2).select("rel_path")
+
+
+_NAMES = "CASE event_id % 5 WHEN 0 THEN 'a/.git/x' WHEN 1 THEN '.env' WHEN 2 THEN 'b/Cargo.lock' WHEN 3 THEN 'b/app.min.js' ELSE 'src/main.rs' END"
+
+
+@query(f"SELECT event_id, regexp_matches({_NAMES}, '(^|/)[.]') AS hidden, event_id % 5 IN (2, 3) AS generated, event_id % 5 = 4 AS excluded FROM events")
+def b3_b6_b7_names(spark, sf_dir):
+    from .sources.ignore import GENERATED
+
+    path = F.expr(_NAMES)
+    return tables.read(spark, sf_dir, "events").select("event_id", C.is_hidden(path).alias("hidden"), C.matches_glob(path, list(GENERATED)).alias("generated"), C.matches_glob(path, ["!src/**"]).alias("excluded"))
+
+
+@query("SELECT 9223372036854775807 AS total FROM events LIMIT 1")
+def e9_saturating_sum(spark, sf_dir):
+    big = tables.read(spark, sf_dir, "events").select((F.lit(A.LIMIT) - F.col("event_id")).alias("n"))
+    return big.agg(A.saturating_sum("n").alias("total"))
+
+
+@query("SELECT count(*) FILTER (event_type = 'error') AS skipped FROM events")
+def e8_skipped(spark, sf_dir):
+    read = tables.read(spark, sf_dir, "events").select(F.when(F.col("event_type") == "error", "no such file").alias("error"))
+    return read.agg(F.count("error").alias("skipped"))
+
+
+@query(f"{_BY_LANG} SELECT name || ',' || files || ',' || lines || ',' || code_lines || ',' || comment_lines || ',' || blank_lines || ',' || size || ',' || {_HUMAN} || ',' || printf('%.1f', {_PCT.format('code_lines')}) AS line FROM g")
+def g5_csv_rows(spark, sf_dir):
+    g = A.by_language(corpus_stats(spark, sf_dir))
+    numbers = [M.number(F.col(c)) for c in ("files", "lines", "code_lines", "comment_lines", "blank_lines", "size")]
+    return g.select(F.concat_ws(",", M.csv_field(F.col("name")), *numbers, M.csv_field(F.col("size_human")), M.percent(F.col("code_percentage"))).alias("line"))
+
+
+@query("""WITH f AS (SELECT coalesce(text, '') AS t, conv_id, turn FROM conversations), g AS (SELECT conv_id, string_agg(t, chr(10) ORDER BY turn) AS t FROM f GROUP BY conv_id)
+SELECT conv_id, strlen(t) AS size FROM g""")
+def a1_conversation_files(spark, sf_dir):
+    return tables.chats(spark, sf_dir).select(F.col("rel_path").cast("long").alias("conv_id"), "size")
