@@ -10,11 +10,11 @@ one period on the driver, from the weights alone, and block k's slot follows by
 weight of their own, null among them, share one stream. When a stream has run out, the others go on in a new phase by
 their own weights; nothing is dropped or repeated. Phases come from one count per stream.
 
-The place of a row in its source is its place in its hash bucket plus the sizes of the buckets before; there are
-`BUCKETS` buckets a source, so no task holds a source.
+The order in a source is that of the MD5 of the ids. The place of a row in its source is its place in its bucket, the
+first three digits of the hash, plus the sizes of the buckets before; there are 4,096 a source, so no task holds one.
 
 Cases: text and other columns are not looked at; rows that are alike in source and doc_id fall in any order; null
-doc_ids have the hash of null; a source of fewer rows than a block has one short block; empty table, empty result.
+doc_ids have the hash of the empty string; a source of fewer rows than a block has one short block; empty table, empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from .common import fresh, masked
 
 #: The stream of sources without a ticket of their own.
 REST = "*"
-BUCKETS, BLOCK = 1024, 16
+BLOCK = 16
 
 
 def period(tickets: Mapping[str, int]) -> list[str]:
@@ -82,8 +82,8 @@ def mix(documents: DataFrame, tickets: Mapping[str, int], block: int = BLOCK, so
     documents, name = masked(documents)
     stream, number, slot, place, hashed, bucket, before, key = "stream", "block_no", "slot", "place", "hashed", "bucket", "before", name(key)
     of = _stream(tickets, F.col(name(source)))
-    digest = F.xxhash64(key)
-    bucketed = F.pmod(digest, F.lit(BUCKETS)).cast("int")
+    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
+    bucketed = F.conv(F.substring(digest, 1, 3), 16, 10).cast("int")  # as the digests sort
     sizes = documents.select(of.alias("s"), bucketed.alias("b")).groupBy("s", "b").count()
     counts = {r["s"]: r["n"] for r in sizes.groupBy("s").agg(F.sum("count").alias("n")).collect()}  # one row a stream, of which there are as many as tickets
     plan, places = phases(tickets, {s: -(-n // block) for s, n in counts.items()})
