@@ -102,14 +102,14 @@ def hidden(groups: DataFrame, shown: DataFrame) -> DataFrame:
     return groups.agg(F.count("*").alias("a")).crossJoin(F.broadcast(shown.agg(F.count("*").alias("b")))).select((F.col("a") - F.col("b")).alias("hidden"))
 
 
-def ranked_files(stats: DataFrame, key: SortKey | str = SortKey.LINES, descending: bool = True, group: str = "lang") -> DataFrame:
-    """stats with `place`, each file's place in its group."""
-    return stats.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(*file_order(key, descending))))
+def ranked_files(stats: DataFrame, n: int, key: SortKey | str = SortKey.LINES, descending: bool = True, group: str = "lang") -> DataFrame:
+    """The first n files of each group with `place`; Spark cuts to n in each task before it shuffles."""
+    return stats.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(*file_order(key, descending)))).where(F.col("place") <= n)
 
 
-def file_lists(stats: DataFrame, group: str = "lang") -> DataFrame:
-    """Each group's files as one array, by path; for reports of a size that is read whole."""
-    return stats.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("rel_path", "total_lines", *MEASURES, "size"))).alias("files_detail"))
+def file_lists(stats: DataFrame, key: SortKey | str = SortKey.LINES, descending: bool = True, group: str = "lang") -> DataFrame:
+    """All files, group after group, each in order. A sort by ranges, so a large group spreads over tasks; no array holds one."""
+    return stats.orderBy(group, *file_order(key, descending))
 
 
 def merge(parts: list[DataFrame], key: str = "name") -> DataFrame:

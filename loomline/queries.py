@@ -148,7 +148,7 @@ _sorted("lines", False)
 
 @query(f"{_STATS}, r AS (SELECT rel_path, lang, row_number() OVER (PARTITION BY lang ORDER BY total_lines DESC, rel_path DESC)::INT AS place FROM stats) SELECT * FROM r WHERE place <= 10")
 def f2_files_in_group(spark, sf_dir):
-    return A.ranked_files(corpus_stats(spark, sf_dir)).where("place <= 10").select("rel_path", "lang", "place")
+    return A.ranked_files(corpus_stats(spark, sf_dir), 10).select("rel_path", "lang", "place")
 
 
 @query(f"{_BY_DIR} SELECT name, row_number() OVER (ORDER BY lines DESC, name DESC)::INT AS place FROM g")
@@ -175,8 +175,7 @@ def e7_hidden(spark, sf_dir):
 
 @query(f"{_STATS} SELECT lang, rel_path, total_lines, size FROM stats")
 def e6_file_lists(spark, sf_dir):
-    lists = A.file_lists(corpus_stats(spark, sf_dir))
-    return lists.select("lang", F.explode("files_detail").alias("f")).select("lang", "f.rel_path", "f.total_lines", "f.size")
+    return A.file_lists(corpus_stats(spark, sf_dir)).select("lang", "rel_path", "total_lines", "size")
 
 
 @query(f"{_STATS}, h AS (SELECT * FROM stats UNION ALL SELECT * FROM stats) SELECT lang AS name, {_SUMS} FROM h GROUP BY lang")
