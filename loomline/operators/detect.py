@@ -20,19 +20,16 @@ _WORD = re.compile(r"[A-Za-z0-9_]+")
 
 
 def candidates(files: DataFrame, languages: list[Language], key: str = "rel_path", name: str = "name") -> DataFrame:
-    """key, lang_idx: each language that has a pattern for the file's name, once; case does not count."""
-    spark = files.sparkSession
+    """key, lang_idx, lang: each language that has a pattern for the file's name, once; case does not count."""
     names, endings, globs = split_patterns(languages)
     low = F.lower(F.col(name))
-    parts = F.split(low, r"\.")
-    tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.concat(F.lit("."), F.array_join(F.slice(parts, i, F.size(parts)), ".")))
-    base = files.select(key, low.alias("n"), F.when(F.size(parts) > 1, tails).otherwise(F.array().cast("array<string>")).alias("tails"))
-    whole = base.join(F.broadcast(spark.createDataFrame(names, "p string, lang_idx int")), F.col("n") == F.col("p"))
-    tail = base.select(key, F.explode("tails").alias("t")).join(F.broadcast(spark.createDataFrame(endings, "p string, lang_idx int")), F.col("t") == F.col("p"))
-    found = whole.select(key, "lang_idx").unionAll(tail.select(key, "lang_idx"))
-    for pattern, idx in globs:
-        found = found.unionAll(base.where(F.col("n").rlike(pattern)).select(key, F.lit(idx).alias("lang_idx")))
-    return found.distinct()
+    dots = F.split(low, r"\.")
+    tails = F.transform(F.sequence(F.lit(2), F.size(dots)), lambda i: F.concat(F.lit("."), F.array_join(F.slice(dots, i, F.size(dots)), ".")))
+    keys = [F.array(F.concat(F.lit("="), low)), F.when(F.size(dots) > 1, tails).otherwise(F.array().cast("array<string>"))]
+    keys += [F.when(low.rlike(p), F.array(F.lit(f"?{i}"))).otherwise(F.array().cast("array<string>")) for p, i in globs]
+    patterns = [(f"={p}", i) for p, i in names] + endings + [(f"?{i}", i) for _, i in globs]
+    known = files.sparkSession.createDataFrame([(p, i, languages[i].name) for p, i in patterns], "p string, lang_idx int, lang string")
+    return files.select(key, F.explode(F.concat(*keys)).alias("p")).join(F.broadcast(known), "p").select(key, "lang_idx", "lang").distinct()
 
 
 def candidate_lists(files: DataFrame, languages: list[Language], name: str = "name") -> DataFrame:

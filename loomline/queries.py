@@ -262,8 +262,7 @@ def c17_scores(spark, sf_dir):
 
 @query(f"WITH {_FILES} SELECT rel_path, lang FROM files")
 def d1_candidates(spark, sf_dir):
-    files = corpus(spark, sf_dir)
-    return detect.candidates(files, _languages()).select("rel_path", F.element_at(F.array(*(F.lit(x.name) for x in _languages())), F.col("lang_idx") + 1).alias("lang"))
+    return detect.candidates(corpus(spark, sf_dir), _languages()).select("rel_path", "lang")
 
 
 @query("SELECT page_id, CASE WHEN strlen(html) <= 4096 THEN strlen(html) ELSE 8192 END::INT AS n, CASE WHEN strlen(html) <= 4096 THEN 0 ELSE ((strlen(html) - 4096) // 2) - ((strlen(html) - 4096) // 2) % 2 END::INT AS middle FROM pages")
