@@ -37,7 +37,7 @@ class Spec:
     keep: int
     cost: float = 0.1
     #: Errors that a bucket's log-count ratio must be away from zero.
-    least_z: float = 2.5
+    least_z: float = 0.0
     #: Most labelled rows of each class that are learnt from.
     per_class: int = 4000
 

@@ -176,7 +176,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -60, 60)))
 
 
-def select(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, keep: int, least: int = 3, least_z: float = 2.5) -> tuple[np.ndarray, np.ndarray]:
+def select(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, keep: int, least: int = 3, least_z: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """(bucket -> column, ratio of each column): at most `keep` buckets, those whose ratio is largest against its error.
 
     A ratio of under least_z errors is left out, so that few labelled rows give few columns.
