@@ -3,7 +3,10 @@
 Files are streamed through the automaton word by word; the state and the length of the match at each place are the
 matching statistics: the longest run of words ending there that some template has. Runs of `MIN_MATCH` words or
 more are chained, template by template, in the order of the template, into the spans that cover it; a template
-whose covered share reaches `MIN_COVER` gives its label. The base phrases are templates that must be matched whole.
+whose covered share reaches `MIN_COVER` gives its label. Templates below `WHOLE` words must be matched whole and
+unbroken, and the runs in `DECIDING`, which tell near-alike licences apart, unbroken in every template that has them. Of
+templates of different labels that match the same words, a whole one goes before a partial one, then the one with more
+words. The base phrases are templates that must be matched whole.
 
 A match of two words or more can only lie where neighbouring words are neighbours in a template, so the automaton
 is stepped only through runs of such pairs, which numpy finds; the statistics are the same as for every word.
@@ -45,11 +48,19 @@ TEMPLATES = (
     ("cc-by-sa", "creative commons attribution sharealike"),
     ("cc-by-sa", "licensed under cc by sa"),
     ("cc0", "creative commons zero v1 0 universal"),
+    ("lgpl", "licensed under the gnu lesser general public license"),
+    ("lgpl", "gnu lesser general public license version"),
+    ("agpl", "licensed under the gnu affero general public license"),
+    ("agpl", "gnu affero general public license version"),
 )
 
 MIN_MATCH, MIN_COVER = 3, 0.8
 #: Most words of the text between two matches of one chain.
 MAX_GAP = 30
+#: Templates of fewer words must be matched whole and unbroken.
+WHOLE = 12
+#: Runs that must stand unbroken in the match of a template that has them.
+DECIDING = ("gnu general public license", "gnu lesser general public license", "gnu affero general public license", "mozilla public license v 2 0", "licenses license 2 0")
 
 _WORD_BYTES = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 0x20 for b in range(256))
 
@@ -113,6 +124,28 @@ class Automaton:
         return (self.go[state][word], length + 1) if word in self.go[state] else (0, 0)
 
 
+@dataclass(frozen=True)
+class Chain:
+    """Matches of one template in order: their places in the text (from, to), the words they cover, the deciding runs they hold."""
+
+    template: int
+    held: int
+    cover: int
+    places: tuple[tuple[int, int], ...]
+
+    @property
+    def first(self) -> int:
+        return self.places[0][0]
+
+    @property
+    def last(self) -> int:
+        return self.places[-1][1] - 1
+
+    def shared(self, other: Chain) -> int:
+        """Words of the text that both match."""
+        return sum(max(0, min(b, d) - max(a, c)) for a, b in self.places for c, d in other.places)
+
+
 class Scanner:
     def __init__(self, phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES):
         texts = [(label, words(t)) for t, label in phrases] + [(label, words(t)) for label, t in templates]
@@ -126,6 +159,7 @@ class Scanner:
         for k, t in enumerate(coded):
             self.automaton.add(k, t)
         self.automaton.finish()
+        self.deciding = [[(i, i + len(d)) for d in map(words, DECIDING) for i in range(len(t) - len(d) + 1) if t[i : i + len(d)] == d] for _, t in texts]
         self.n = len(self.number)
         self.pairs = np.zeros((self.n + 1) ** 2, bool)
         for t in coded:
@@ -159,11 +193,9 @@ class Scanner:
                 if k >= self.n_phrases and length >= MIN_MATCH:
                     by_template.setdefault(k, []).append((start, max(0, upto - length), min(length, upto)))
             places += self._phrases(ws, start, length)
-        best: dict[int, tuple[float, int, int]] = {}
-        for k, found in by_template.items():
-            best[k] = self._chain(k, sorted(set(found)))
+        best = [self._chain(k, sorted(set(found))) for k, found in by_template.items()]
         labels = {self.labels[p] for _, p in places}
-        taken = {k: v for k, v in best.items() if v[0] >= MIN_COVER}
+        taken = self._winners(c for c in best if self._enough(c))
         starts = [s for s, _ in places]
         return {
             "n_words": len(ws),
@@ -171,9 +203,9 @@ class Scanner:
             "first_word": min(starts, default=None),
             "last_word": max(starts, default=None),
             "base_labels": ",".join(sorted(labels)),
-            "labels": ",".join(sorted(labels | {self.labels[k] for k in taken})),
-            "score": 1.0 if places else max((v[0] for v in best.values()), default=0.0),
-            "spans": [(self.labels[k], a, b) for k, (_, a, b) in sorted(taken.items())],
+            "labels": ",".join(sorted(labels | {self.labels[c.template] for c in taken})),
+            "score": 1.0 if places else max((c.cover / self.size[c.template] for c in best), default=0.0),
+            "spans": [(self.labels[c.template], c.first, c.last) for c in taken],
         }
 
     def _phrases(self, ws: Sequence[bytes], start: int, length: int) -> list[tuple[int, int]]:
@@ -184,21 +216,49 @@ class Scanner:
             out += [(i + 1 - n, k) for k, n in a.ends[state] if k < self.n_phrases and n == self.size[k] and have >= n]
         return out
 
-    def _chain(self, k: int, found: list[tuple[int, int, int]]) -> tuple[float, int, int]:
-        """Best chain of matches (start, start in template, words): covered share, first and last word of the text."""
-        ends: list[tuple[int, int, int, int, int]] = []  # covered, first word, text end, template end, latest
-        top = (0, 0, 0)
-        for start, at, n in found:
-            cover, first = n, start
-            for c, f, text_end, at_end in reversed([e[:4] for e in ends[-64:]]):
-                if start - text_end > MAX_GAP:
+    def _held(self, k: int, at: int, n: int, since: int = 0) -> int:
+        """Deciding runs of a template that end after `since` and that a match of n words from `at` holds."""
+        return sum(at <= a and since < b <= at + n for a, b in self.deciding[k])
+
+    def _chain(self, k: int, found: list[tuple[int, int, int]]) -> Chain:
+        """Best chain of matches (start, start in template, words), by deciding runs, then by words covered."""
+        ends: list[tuple[int, int, int, int]] = []  # deciding runs held, words covered, match before, words of this one that it covers too
+        for i, (start, at, n) in enumerate(found):
+            top = (self._held(k, at, n), n, -1, 0)
+            for j in range(i - 1, max(-1, i - 65), -1):
+                s, a, m = found[j]
+                if start - s - m > MAX_GAP:
                     break
-                skip = max(0, at_end - at, text_end - start)
-                if skip < n and at + skip >= at_end and c + n - skip > cover:
-                    cover, first = c + n - skip, f
-            ends.append((cover, first, start + n, at + n, 0))
-            top = max(top, (cover, -first, start + n))
-        return min(1.0, top[0] / self.size[k]), -top[1], top[2] - 1
+                skip = max(0, a + m - at, s + m - start)
+                if skip < n:
+                    top = max(top, (ends[j][0] + self._held(k, at, n, a + m), ends[j][1] + n - skip, j, skip), key=lambda e: e[:2])
+            ends.append(top)
+        i = max(range(len(ends)), key=lambda i: ends[i][:2])
+        held, cover, _, _ = ends[i]
+        places = []
+        while i >= 0:
+            (start, _, n), (_, _, before, skip) = found[i], ends[i]
+            places.append((start + skip, start + n))
+            i = before
+        return Chain(k, held, cover, tuple(places[::-1]))
+
+    def _enough(self, c: Chain) -> bool:
+        if self.size[c.template] < WHOLE:
+            return self._whole(c)
+        return c.cover / self.size[c.template] >= MIN_COVER and c.held >= len(self.deciding[c.template])
+
+    def _whole(self, c: Chain) -> bool:
+        return c.last + 1 - c.first == c.cover == self.size[c.template]
+
+    def _winners(self, chains: Iterable[Chain]) -> list[Chain]:
+        """The chains without those that share `MIN_MATCH` words or more with a better one of another label."""
+        rank = {c: (self._whole(c), c.cover) for c in chains}
+        out: list[Chain] = []
+        for c in sorted(rank, key=rank.get, reverse=True):
+            better = (x for x in out if rank[x] > rank[c] and self.labels[x.template] != self.labels[c.template])
+            if not any(x.shared(c) >= MIN_MATCH for x in better):
+                out.append(c)
+        return sorted(out, key=lambda c: (c.template, c.first))
 
 
 def scan_licenses(documents: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:

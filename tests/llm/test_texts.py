@@ -131,6 +131,20 @@ def test_licences_of_whole_notices():
     assert "mit" in scan(broken)["labels"]
 
 
+def test_near_alike_licences_get_one_label():
+    scan = license_scan.Scanner().scan
+    notice = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version 3 of the License, or any later version."
+    wanted = {
+        "Licensed under CC BY-NC 4.0": "cc-by-nc", "Licensed under CC BY-SA 4.0": "cc-by-sa", "Licensed under CC BY 4.0": "",
+        "GNU Lesser General Public License version 3": "lgpl", "GNU Affero General Public License version 3": "agpl", "GNU General Public License version 3": "gpl",
+        "Licensed under the GNU Lesser General Public License.": "lgpl", "Licensed under the GNU Library General Public License.": "",
+        notice.format("library", "Lesser "): "lgpl", notice.format("program", "Lesser "): "lgpl", notice.format("program", "Affero "): "agpl", notice.format("program", ""): "gpl", notice.format("library", ""): "gpl",
+        "Creative Commons Attribution ShareAlike": "cc-by-sa", "Creative Commons Attribution 4.0": "",
+        license_scan.TEMPLATES[8][1].replace("v 2 0", "v 3 0"): "",
+    }
+    assert {t: scan(t)["labels"] for t in wanted} == wanted
+
+
 def test_automaton_against_all_runs():
     rnd = random.Random(2)
     for _ in range(60):
