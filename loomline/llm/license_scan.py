@@ -17,6 +17,7 @@ of any length (memory: one text's words). Words: `[^\\x00-\\x2F\\x3A-\\x60\\x7B-
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 from itertools import pairwise
@@ -146,6 +147,23 @@ class Chain:
         return sum(max(0, min(b, d) - max(a, c)) for a, b in self.places for c, d in other.places)
 
 
+def _between(found: list[tuple[int, int, int]], lo: int, hi: int | None = None) -> list[tuple[int, int, int]]:
+    """The matches, or what of them lies, from word `lo` up to `hi` of the text."""
+    first = bisect_right(found, lo, key=lambda x: x[0] + x[2])
+    last = len(found) if hi is None else bisect_left(found, hi, key=lambda x: x[0])
+    out = found[first:last]
+    for i, (s, at, n) in enumerate(out):
+        if s >= lo:
+            break
+        out[i] = (lo, at + lo - s, n - lo + s)
+    for i in range(len(out) - 1, -1, -1):
+        s, at, n = out[i]
+        if hi is None or s + n <= hi:
+            break
+        out[i] = (s, at, hi - s)
+    return out
+
+
 class Scanner:
     def __init__(self, phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES):
         texts = [(label, words(t)) for t, label in phrases] + [(label, words(t)) for label, t in templates]
@@ -193,9 +211,10 @@ class Scanner:
                 if k >= self.n_phrases and length >= MIN_MATCH:
                     by_template.setdefault(k, []).append((start, max(0, upto - length), min(length, upto)))
             places += self._phrases(ws, start, length)
-        best = [self._chain(k, sorted(set(found))) for k, found in by_template.items()]
+        by_template = {k: sorted(set(found)) for k, found in by_template.items()}
+        best = [self._best(k, found) for k, found in by_template.items()]
         labels = {self.labels[p] for _, p in places}
-        taken = self._winners(c for c in best if self._enough(c))
+        taken = self._winners(c for k, found in by_template.items() for c in self._chains(k, found))
         starts = [s for s, _ in places]
         return {
             "n_words": len(ws),
@@ -220,12 +239,16 @@ class Scanner:
         """Deciding runs of a template that end after `since` and that a match of n words from `at` holds."""
         return sum(at <= a and since < b <= at + n for a, b in self.deciding[k])
 
-    def _chain(self, k: int, found: list[tuple[int, int, int]]) -> Chain:
-        """Best chain of matches (start, start in template, words), by deciding runs, then by words covered."""
-        ends: list[tuple[int, int, int, int]] = []  # deciding runs held, words covered, match before, words of this one that it covers too
+    def _ends(self, k: int, found: list[tuple[int, int, int]], stop: bool = False) -> list[tuple[int, int, int, int]]:
+        """The best chain that ends with each match (start, start in template, words), by deciding runs, then by words covered.
+
+        (deciding runs held, words covered, match before, words of this one that it covers too); up to the first chain
+        that is enough if `stop`. Matches end in the order of their starts, as none holds another.
+        """
+        ends: list[tuple[int, int, int, int]] = []
         for i, (start, at, n) in enumerate(found):
             top = (self._held(k, at, n), n, -1, 0)
-            for j in range(i - 1, max(-1, i - 65), -1):
+            for j in range(i - 1, -1, -1):
                 s, a, m = found[j]
                 if start - s - m > MAX_GAP:
                     break
@@ -233,7 +256,11 @@ class Scanner:
                 if skip < n:
                     top = max(top, (ends[j][0] + self._held(k, at, n, a + m), ends[j][1] + n - skip, j, skip), key=lambda e: e[:2])
             ends.append(top)
-        i = max(range(len(ends)), key=lambda i: ends[i][:2])
+            if stop and top[1] >= MIN_COVER * self.size[k] and self._enough(self._chain(k, found, ends, i)):
+                break
+        return ends
+
+    def _chain(self, k: int, found: list[tuple[int, int, int]], ends: list[tuple[int, int, int, int]], i: int) -> Chain:
         held, cover, _, _ = ends[i]
         places = []
         while i >= 0:
@@ -242,10 +269,35 @@ class Scanner:
             i = before
         return Chain(k, held, cover, tuple(places[::-1]))
 
+    def _best(self, k: int, found: list[tuple[int, int, int]]) -> Chain:
+        ends = self._ends(k, found)
+        return self._chain(k, found, ends, max(range(len(ends)), key=lambda i: ends[i][:2]))
+
+    def _chains(self, k: int, found: list[tuple[int, int, int]]) -> list[Chain]:
+        """As many disjoint chains that are enough as there are, each then as good as the room up to the next lets it be.
+
+        Always taking the chain that is enough first gives most chains.
+        """
+        least: list[Chain] = []
+        rest = found
+        while rest:
+            ends = self._ends(k, rest, True)
+            c = self._chain(k, rest, ends, len(ends) - 1)
+            if not self._enough(c):
+                break
+            least.append(c)
+            rest = _between(rest, c.last + 1)
+        out: list[Chain] = []
+        for i, c in enumerate(least):
+            room = _between(found, out[-1].last + 1 if out else 0, least[i + 1].first if i + 1 < len(least) else None)
+            best = self._best(k, room)
+            out.append(best if self._enough(best) else c)
+        return out
+
     def _enough(self, c: Chain) -> bool:
         if self.size[c.template] < WHOLE:
             return self._whole(c)
-        return c.cover / self.size[c.template] >= MIN_COVER and c.held >= len(self.deciding[c.template])
+        return c.cover >= MIN_COVER * self.size[c.template] and c.held >= len(self.deciding[c.template])
 
     def _whole(self, c: Chain) -> bool:
         return c.last + 1 - c.first == c.cover == self.size[c.template]

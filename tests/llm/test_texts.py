@@ -145,6 +145,28 @@ def test_near_alike_licences_get_one_label():
     assert {t: scan(t)["labels"] for t in wanted} == wanted
 
 
+def test_every_disjoint_notice_has_a_span():
+    scan = license_scan.Scanner().scan
+    notice = {label: text for label, text in reversed(license_scan.TEMPLATES)}
+    n = len(notice["mit"].split())
+    broken = notice["mit"].replace("free of charge", "free of all charge")
+    for between, text in ((0, notice["mit"]), (3, notice["mit"]), (50, notice["mit"])):
+        found = scan(" ".join([text, *["x"] * between, text, *["x"] * between, text]))
+        assert found["labels"] == "mit" and found["spans"] == [("mit", k * (n + between), k * (n + between) + n - 1) for k in range(3)]
+    assert scan(f"{broken} {broken}")["spans"] == [("mit", 0, n), ("mit", n + 1, 2 * n + 1)]
+    mixed = scan(f"{notice['mit']} {notice['bsd']} {notice['mit']}")
+    assert sorted(x for x, _, _ in mixed["spans"]) == ["bsd", "mit", "mit"]
+    gpl = "licensed under the gnu general public license"
+    assert scan(f"{gpl} x {gpl}")["spans"] == [("gpl", 0, 6), ("gpl", 8, 14)]
+
+
+def test_dense_repeats_do_not_push_out_a_match():
+    parts = [" ".join(f"{c}{i}z" for i in range(n)) for c, n in (("s", 200), ("t", 100))]
+    scan = license_scan.Scanner(templates=[("x", " ".join([*(f"a b c y{i}" for i in range(12)), *parts]))]).scan
+    found = scan(" ".join([parts[0], *["a b c q"] * 7, parts[1]]))
+    assert found["labels"] == "x" and found["score"] == 300 / len(license_scan.words(" ".join(["a b c y0"] * 12 + parts)))
+
+
 def test_automaton_against_all_runs():
     rnd = random.Random(2)
     for _ in range(60):
