@@ -24,6 +24,21 @@ def test_catalog_is_valid_and_indexed():
     assert [x.idx for x in catalog.validate(LANGUAGES)] == list(range(len(LANGUAGES)))
 
 
+def test_catalog_is_whole():
+    """The counts of SURVEY 1.4."""
+    patterns = [p for x in LANGUAGES for p in x.file_patterns]
+    distinct = {p.lower() for p in patterns}
+    assert (len(LANGUAGES), len(patterns), len(distinct), sum("*" not in p for p in distinct)) == (544, 1131, 1077, 128)
+    assert [sum(map(bool, (getattr(x, f) for x in LANGUAGES))) for f in ("line_comments", "block_comments", "nested", "keywords", "shebangs")] == [474, 357, 53, 84, 35]
+    assert sum(len(x.keywords) for x in LANGUAGES) == 587 and len({(x.line_comments, x.block_comments, x.nested) for x in LANGUAGES}) == 132
+    assert sum(not x.line_comments and not x.block_comments for x in LANGUAGES) == 16
+
+
+@pytest.mark.parametrize("name,language", [("a.pp", "Puppet"), ("a.p", "OpenEdge ABL"), ("a.inc", "BitBake"), ("a.sc", "SuperCollider"), ("a.st", "Structured Text"), ("a.cob", "COBOL"), ("a.hlsl", "HLSL"), ("a.prisma", "Prisma"), ("a.jsp", "Java Server Pages"), ("a.pug", "Pug")])
+def test_less_common_languages_are_candidates(name, language):
+    assert language in [LANGUAGES[i].name for i in ANALYSER.candidates(name)]
+
+
 @pytest.mark.parametrize("text", ['{B: {file_patterns: ["*.b"]}, A: {file_patterns: ["*.a"]}}', "{A: {}}", '{A: {file_patterns: [" *.a"]}}', '{A: {file_patterns: ["*.a"], x: 1}}', '{A: {file_patterns: ["*.a"], keywords: ["k"]}, B: {file_patterns: ["*.a"]}}', '{A: {file_patterns: ["*.a"], line_comments: [""]}}'])
 def test_bad_catalogs(tmp_path, text):
     (tmp_path / "c.json5").write_text(text)
