@@ -35,8 +35,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and the digests of token ids and decoded text."""
-    return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """doc_id, mix_place (from 0, in the order of the mix) and the digests of token ids and decoded text."""
+    placed = mixing.with_written_order(docs.select("doc_id", "text"), "mix_place")
+    return bpe.digests(placed, public_tokenizers.path("word_bpe_49k.json"), ["mix_place"])
 
 
 STAGES = [

@@ -307,8 +307,8 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return encoded.mapInArrow(run, out)
 
 
-def digests(documents: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document; the long columns stay in the worker."""
+def digests(documents: DataFrame, path: str, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, the columns to keep, n_tokens, ids_sha256 and decoded_sha256 of every document; the long columns stay in the worker."""
     bounded_batches(documents.sparkSession)
 
     def make() -> Callable[[list[str]], list]:
@@ -325,4 +325,4 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
         return work
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return append_columns(documents.select("doc_id", "text"), "text", fields, make).drop("text")
+    return append_columns(documents.select("doc_id", *keep, "text"), "text", fields, make).drop("text")

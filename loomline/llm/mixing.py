@@ -112,3 +112,21 @@ def in_mixed_order(documents: DataFrame, tickets: Mapping[str, int], block: int
     mixed = mix(documents, tickets, block)
     n = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return mixed.repartitionByRange(n, slot, place).sortWithinPartitions(slot, place).select(*(F.col(f"`{c}`") for c in documents.columns))
+
+
+def with_written_order(documents: DataFrame, name: str) -> DataFrame:
+    """documents, read from files, with one more column: the place of each row, from 0, in the order they were written in.
+
+    A scan packs files by size, but a row keeps its file and its number there, and files are numbered as written. One
+    count a file goes through the driver; no row is shuffled.
+    """
+    spark, file = documents.sparkSession, fresh(documents.columns, "written_file")
+    marked = documents.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(name))
+    counts = marked.groupBy(file).count().collect()
+    before, starts = 0, []
+    for path, n in sorted(((r[0], r[1]) for r in counts), key=lambda x: (len(x[0]), x[0])):  # part-99999 before part-100000
+        starts.append((path, before))
+        before += n
+    known = F.broadcast(spark.createDataFrame(starts, "path_of_file string, rows_before long"))
+    rows = marked.join(known, F.col(file) == F.col("path_of_file"))
+    return rows.select(*(F.col(f"`{c}`") for c in documents.columns), (F.col("rows_before") + F.col(name)).alias(name))

@@ -9,6 +9,7 @@ pytest.importorskip("public_tokenizers")
 import corpus_pipeline as pipeline  # noqa: E402
 import public_tokenizers  # noqa: E402
 
+from loomline.llm import mixing  # noqa: E402
 from loomline.llm.common import stage_table, table  # noqa: E402
 
 from .test_dedup_and_search import low, plain_components, plain_fingerprint  # noqa: E402
@@ -46,3 +47,12 @@ def test_stages(spark):
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, tokens)).encode()).hexdigest()
     assert len(after["bpe"]) == len(near)
     assert sorted(r.doc_id for r in pipeline.run(spark, D).collect()) == sorted(near)
+
+
+def test_order_of_the_mix_is_in_the_result(spark):
+    docs = table(spark, D, "documents")
+    mixed = stage_table(pipeline.mix_sources(spark, docs, D), "test")
+    got = stage_table(pipeline.encode(spark, mixed, D), "test").collect()
+    want = mixing.mix(docs.select("doc_id", "source"), pipeline.TICKETS).orderBy("slot", "place").collect()
+    assert len(mixed.inputFiles()) > 1 and sorted(r.mix_place for r in got) == list(range(len(want)))
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.mix_place)] == [r.doc_id for r in want]
