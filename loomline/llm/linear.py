@@ -101,12 +101,18 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS = np.cumprod(np.full(64, _MULT, np.uint32), dtype=np.uint32)
 
 
-def shape_ngrams(sizes: Sequence[int] = (1, 2, 3), bits: int = 18) -> Featuriser:
+def shape_and_word_ngrams(bits: int = 20) -> Featuriser:
+    """Indicators of shape_ngrams and, beside them, of the words and word pairs themselves, A-Z as a-z."""
+    return shape_ngrams(bits=bits, word_sizes=(1, 2))
+
+
+def shape_ngrams(sizes: Sequence[int] = (1, 2, 3), bits: int = 18, word_sizes: Sequence[int] = ()) -> Featuriser:
     """Indicators of n-grams over word shapes, each with the power of two nearest below its share of the text.
 
     A word's shape is its character classes, its first character's class, its length class and whether it
     repeats one of the two words before it. `(n-gram, share)` is one indicator, so that a page that is junk
-    throughout and one with a single odd line differ. A text without words sets one bucket of its own.
+    throughout and one with a single odd line differ. A text without words sets one bucket of its own. N-grams of
+    the words themselves, of the sizes `word_sizes`, are plain indicators.
     """
 
     def run(texts: Sequence[str], wanted: np.ndarray | None = None) -> Pairs:
@@ -148,6 +154,18 @@ def shape_ngrams(sizes: Sequence[int] = (1, 2, 3), bits: int = 18) -> Featuriser
                     share = np.floor(np.log2(count / (words[doc - first] - n + 1))).astype(np.int64).clip(-12, 0)
                     ofs.append(doc)
                     buckets.append(_bucket(gram * _MULT + (share + 13).astype(np.uint32) * np.uint32(0x85EBCA6B), bits))
+            if word_sizes:
+                small = b + ((b >= ord("A")) & (b <= ord("Z"))).astype(np.uint8) * np.uint8(32)
+                low = np.add.reduceat((small.astype(np.uint32) + np.uint32(1)) * _POWERS[place], starts).astype(np.uint32)
+                h = np.zeros(len(low), np.uint32)
+                for n in range(1, max(word_sizes) + 1):
+                    if len(low) < n:
+                        break
+                    h = (h if n == 1 else h[:-1]) * _MULT + (low[n - 1 :] * _MIX ^ np.uint32(n + 64))
+                    if n in word_sizes:
+                        inside = of[: len(h)] == of[n - 1 :]
+                        ofs.append(of[: len(h)][inside])
+                        buckets.append(_bucket(h[inside], bits))
             pairs.append(_unique(ofs, buckets, bits))
         of, bucket = _joined(pairs)
         return (of, bucket) if wanted is None else (of[wanted[bucket]], bucket[wanted[bucket]])

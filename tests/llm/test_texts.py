@@ -196,6 +196,17 @@ def test_classifiers_on_held_out_rows(spark, spec, run, least):
     assert sum(r.predicted == r[spec.label] for r in held) / len(held) >= least
 
 
+def test_quality_tells_wording_of_one_shape(spark):
+    rnd, words = random.Random(4), [["river", "stone", "green", "quiet"], ["cheap", "pills", "click", "prize"]]
+    texts_ = [" ".join(rnd.choice(words[i % 2]) for _ in range(30)) for i in range(400)]
+    docs = table(spark, list(enumerate(texts_)))
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(400)], "doc_id long, quality int")
+    held = quality.quality(docs, labels).where("held_out").collect()
+    assert len(held) > 50 and all(r.predicted == 1 - r.doc_id % 2 for r in held)
+    once, twice = linear.shape_and_word_ngrams()(texts_, None), linear.shape_and_word_ngrams()([t.upper().lower() for t in texts_], None)
+    assert all((a == b).all() for a, b in zip(once, twice)) and once[0].min() == 0 and once[0].max() == 399
+
+
 def test_classifier_odd_rows(spark):
     docs = table(spark, ODD)
     for labels in ([], [(5, 1, 1)], [(5, 1, 0), (5, 0, 0), (6, 0, 1), (None, 1, 1), (8, None, None), (4, 1, 1)]):
