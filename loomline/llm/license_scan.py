@@ -1,24 +1,30 @@
 """Licence scans: a generalised suffix automaton over the words of licence templates.
 
 Files are streamed through the automaton word by word; the state and the length of the match at each place are the
-matching statistics: the longest run of words ending there that some template has. Runs of `MIN_MATCH` words or
-more are chained, template by template, in the order of the template, into the spans that cover it; a template
-whose covered share reaches `MIN_COVER` gives its label. Templates below `WHOLE` words must be matched whole and
-unbroken, and the runs in `DECIDING`, which tell near-alike licences apart, unbroken in every template that has them. Of
-templates of different labels that match the same words, a whole one goes before a partial one, then the one with more
-words. The base phrases are templates that must be matched whole.
+matching statistics: the longest run of words ending there that some template has. The suffix links below the state
+give every template its own longest runs there, also those that a longer run of another template holds. Runs of
+`MIN_MATCH` words or more that no word on either side prolongs are chained, template by template, in the order of the
+template, into the spans that cover it; a template whose covered share reaches `MIN_COVER` gives its label. Templates
+below `WHOLE` words must be matched whole, with at most `SHORT_GAP` other words between, and the runs in `DECIDING`,
+which tell near-alike licences apart, unbroken in every template that has them. Of templates of different labels that match the same words, a whole
+one goes before a partial one, then the one with more words. The base phrases are templates that must be matched whole.
+
+The built-in templates are the grants and notices of the common licences, short licences whole; `templates_of` makes
+templates of further texts, such as a folder of licence files that the caller has read.
 
 A match of two words or more can only lie where neighbouring words are neighbours in a template, so the automaton
 is stepped only through runs of such pairs, which numpy finds; the statistics are the same as for every word.
 
 Cases: null counts as empty; a text without words has no places and score 0; repeated rows are scanned each; texts
-of any length (memory: one text's words). Words: `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z only.
+of any length (memory: one text's words); phrases and templates without words match nothing, those of one word
+wherever it stands. Words: `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z only.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Iterable, Sequence
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import pairwise
 
@@ -27,41 +33,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import append_columns, bounded_batches
+from .license_texts import TEXTS
 
 #: The base phrases and their labels.
 PHRASES = (("the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Label and wording of licence grants and notices.
-TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("gpl", "licensed under the gnu general public license"),
-    ("gpl", "gnu general public license version"),
-    ("lgpl", "under the terms of the gnu lesser general public license"),
-    ("agpl", "under the terms of the gnu affero general public license"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("cc-by-nc", "creative commons attribution noncommercial"),
-    ("cc-by-sa", "creative commons attribution sharealike"),
-    ("cc-by-sa", "licensed under cc by sa"),
-    ("cc0", "creative commons zero v1 0 universal"),
-    ("lgpl", "licensed under the gnu lesser general public license"),
-    ("lgpl", "gnu lesser general public license version"),
-    ("agpl", "licensed under the gnu affero general public license"),
-    ("agpl", "gnu affero general public license version"),
-)
+#: Label and wording of licences, grants and notices.
+TEMPLATES = TEXTS
 
 MIN_MATCH, MIN_COVER = 3, 0.8
 #: Most words of the text between two matches of one chain.
 MAX_GAP = 30
-#: Templates of fewer words must be matched whole and unbroken.
-WHOLE = 12
+#: Templates of fewer words must be matched whole, with so many other words between at most.
+WHOLE, SHORT_GAP = 12, 3
 #: Runs that must stand unbroken in the match of a template that has them.
-DECIDING = ("gnu general public license", "gnu lesser general public license", "gnu affero general public license", "mozilla public license v 2 0", "licenses license 2 0")
+DECIDING = (
+    "gnu general public license", "lesser general public license", "affero general public license", "mozilla public license v 2 0",
+    "licenses license 2 0", "attribution 4 0 international",
+)
 
 _WORD_BYTES = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 0x20 for b in range(256))
 
@@ -116,6 +105,21 @@ class Automaton:
         """Hands the ends of each state to the shorter runs that end there too."""
         for s in sorted(range(1, len(self.go)), key=lambda s: -self.long[s]):
             self.ends[self.link[s]] |= self.ends[s]
+        self._runs: dict[int, list[tuple[int, int, int]]] = {}
+
+    def runs(self, state: int) -> list[tuple[int, int, int]]:
+        """(template, words up to here, words of the run) of every place in a template that shares words with the state's run.
+
+        Each place once, with its longest run; 0 words stand for the whole match, whose length the state alone does not tell.
+        """
+        found = self._runs.get(state)
+        if found is None:
+            found, seen, s = [(k, e, 0) for k, e in self.ends[state]], self.ends[state], self.link[state]
+            while s > 0:
+                found += [(k, e, self.long[s]) for k, e in self.ends[s] - seen]
+                seen, s = self.ends[s], self.link[s]
+            self._runs[state] = found
+        return found
 
     def step(self, state: int, length: int, word: int) -> tuple[int, int]:
         """Matching statistics one word on."""
@@ -142,26 +146,21 @@ class Chain:
     def last(self) -> int:
         return self.places[-1][1] - 1
 
-    def shared(self, other: Chain) -> int:
-        """Words of the text that both match."""
-        return sum(max(0, min(b, d) - max(a, c)) for a, b in self.places for c, d in other.places)
 
+#: A match: where it ends and starts in the text, where it starts in the template.
+Match = tuple[int, int, int]
 
-def _between(found: list[tuple[int, int, int]], lo: int, hi: int | None = None) -> list[tuple[int, int, int]]:
-    """The matches, or what of them lies, from word `lo` up to `hi` of the text."""
-    first = bisect_right(found, lo, key=lambda x: x[0] + x[2])
-    last = len(found) if hi is None else bisect_left(found, hi, key=lambda x: x[0])
-    out = found[first:last]
-    for i, (s, at, n) in enumerate(out):
-        if s >= lo:
-            break
-        out[i] = (lo, at + lo - s, n - lo + s)
-    for i in range(len(out) - 1, -1, -1):
-        s, at, n = out[i]
-        if hi is None or s + n <= hi:
+
+def _clipped(found: list[Match], lo: int, hi: int, longest: int) -> list[Match]:
+    """What of the matches, in the order of their ends, lies from word `lo` up to `hi` of the text."""
+    out = []
+    for end, start, at in found[bisect_right(found, lo, key=lambda x: x[0]) :]:
+        if end > hi + longest:
             break
-        out[i] = (s, at, hi - s)
-    return out
+        s, e = max(start, lo), min(end, hi)
+        if s < e:
+            out.append((e, s, at + s - start))
+    return sorted(out)
 
 
 class Scanner:
@@ -173,7 +172,7 @@ class Scanner:
             for w in t:
                 self.number.setdefault(w, len(self.number))
         coded = [[self.number[w] for w in t] for _, t in texts]
-        self.automaton = Automaton()
+        self.coded, self.automaton = coded, Automaton()
         for k, t in enumerate(coded):
             self.automaton.add(k, t)
         self.automaton.finish()
@@ -183,35 +182,49 @@ class Scanner:
         for t in coded:
             for a, b in pairwise(t):
                 self.pairs[a * (self.n + 1) + b] = True
+        self.single = {t[0]: [k for k, u in enumerate(coded) if u == t] for t in coded if len(t) == 1}
+
+    def matches(self, ws: Sequence[bytes]) -> tuple[list[tuple[int, int]], dict[int, list[Match]]]:
+        """(first word, phrase) of every place of a phrase, and each template's matches in the order of their ends.
 
-    def matches(self, ws: Sequence[bytes]) -> list[tuple[int, int, set[tuple[int, int]]]]:
-        """(first word, words, ends) of every match that no longer one holds, of two words or more."""
-        get, n = self.number.get, self.n
+        A match is a run of `MIN_MATCH` words or more (or a template of fewer, whole) that text and template share and that
+        neither the word before nor the one after prolongs; each place in the template is a match of its own.
+        """
+        get, n, a, sizes, coded = self.number.get, self.n, self.automaton, self.size, self.coded
         ids = np.fromiter((get(w, n) for w in ws), np.int64, len(ws))
         near = np.flatnonzero(self.pairs[ids[:-1] * (n + 1) + ids[1:]]) if len(ws) > 1 else np.empty(0, np.int64)
-        out, a = [], self.automaton
+        places: list[tuple[int, int]] = []
+        found: dict[int, list[Match]] = {}
+        for word, ks in self.single.items():
+            for i in np.flatnonzero(ids == word).tolist():
+                for k in ks:
+                    if k < self.n_phrases:
+                        places.append((i, k))
+                    else:
+                        found.setdefault(k, []).append((i + 1, i, 0))
         for run in np.split(near, np.flatnonzero(np.diff(near) > 1) + 1) if len(near) else ():
             state = length = 0
             first, last = int(run[0]), int(run[-1]) + 1
-            for i in range(first, last + 1):
-                after, more = a.step(state, length, int(ids[i]))
-                if more <= length and length >= 2:
-                    out.append((i - length, length, a.ends[state]))
-                state, length = after, more
-            if length >= 2:
-                out.append((last + 1 - length, length, a.ends[state]))
-        return out
+            part = [*ids[first : last + 1].tolist(), n]  # no template goes on over the end of a run
+            for i, word in enumerate(part[:-1], first + 1):
+                state, length = a.step(state, length, word)
+                if length < 2:
+                    continue
+                after = part[i - first]
+                for k, upto, m in a.runs(state):
+                    m = m or length
+                    if k < self.n_phrases:
+                        if upto == sizes[k] <= m and m > 1:
+                            places.append((i - sizes[k], k))
+                    elif m >= MIN_MATCH or m == sizes[k] > 1:
+                        if upto == sizes[k] or coded[k][upto] != after:
+                            found.setdefault(k, []).append((i, i - m, upto - m))
+        return places, found
 
     def scan(self, text: str) -> dict:
         ws = words(text)
-        places: list[tuple[int, int]] = []  # start, phrase
-        by_template: dict[int, list[tuple[int, int, int]]] = {}
-        for start, length, ends in self.matches(ws):
-            for k, upto in ends:
-                if k >= self.n_phrases and length >= MIN_MATCH:
-                    by_template.setdefault(k, []).append((start, max(0, upto - length), min(length, upto)))
-            places += self._phrases(ws, start, length)
-        by_template = {k: sorted(set(found)) for k, found in by_template.items()}
+        places, by_template = self.matches(ws)
+        by_template = {k: sorted(found) for k, found in by_template.items()}
         best = [self._best(k, found) for k, found in by_template.items()]
         labels = {self.labels[p] for _, p in places}
         taken = self._winners(c for k, found in by_template.items() for c in self._chains(k, found))
@@ -227,92 +240,94 @@ class Scanner:
             "spans": [(self.labels[c.template], c.first, c.last) for c in taken],
         }
 
-    def _phrases(self, ws: Sequence[bytes], start: int, length: int) -> list[tuple[int, int]]:
-        """Whole phrases inside a match: places whose statistics hold a phrase's last word at its full length."""
-        out, a, state, have = [], self.automaton, 0, 0
-        for i in range(start, start + length):
-            state, have = a.step(state, have, self.number[ws[i]])
-            out += [(i + 1 - n, k) for k, n in a.ends[state] if k < self.n_phrases and n == self.size[k] and have >= n]
-        return out
-
     def _held(self, k: int, at: int, n: int, since: int = 0) -> int:
         """Deciding runs of a template that end after `since` and that a match of n words from `at` holds."""
         return sum(at <= a and since < b <= at + n for a, b in self.deciding[k])
 
-    def _ends(self, k: int, found: list[tuple[int, int, int]], stop: bool = False) -> list[tuple[int, int, int, int]]:
-        """The best chain that ends with each match (start, start in template, words), by deciding runs, then by words covered.
+    def _link(self, k: int, chains: list[tuple], match: Match, since: int) -> tuple:
+        """The best chain that ends with a match: by deciding runs, by words covered, then the one that starts last.
 
-        (deciding runs held, words covered, match before, words of this one that it covers too); up to the first chain
-        that is enough if `stop`. Matches end in the order of their starts, as none holds another.
+        (deciding runs held, words covered, its start, chain before or -1, words of this match that it covers too, match). `chains` are
+        those of the matches that end before, or there, from number `since` on.
         """
-        ends: list[tuple[int, int, int, int]] = []
-        for i, (start, at, n) in enumerate(found):
-            top = (self._held(k, at, n), n, -1, 0)
-            for j in range(i - 1, -1, -1):
-                s, a, m = found[j]
-                if start - s - m > MAX_GAP:
-                    break
-                skip = max(0, a + m - at, s + m - start)
-                if skip < n:
-                    top = max(top, (ends[j][0] + self._held(k, at, n, a + m), ends[j][1] + n - skip, j, skip), key=lambda e: e[:2])
-            ends.append(top)
-            if stop and top[1] >= MIN_COVER * self.size[k] and self._enough(self._chain(k, found, ends, i)):
+        end, start, at = match
+        n = end - start
+        top = (self._held(k, at, n), n, start, -1, 0, match)
+        for j in range(len(chains) - 1, since - 1, -1):
+            held, cover, first, _, _, (e, s, a) = chains[j]
+            if start - e > MAX_GAP:
                 break
-        return ends
+            skip = max(0, a + e - s - at, e - start)
+            if skip < n:
+                top = max(top, (held + self._held(k, at, n, a + e - s), cover + n - skip, first, j, skip, match), key=lambda x: x[:3])
+        return top
 
-    def _chain(self, k: int, found: list[tuple[int, int, int]], ends: list[tuple[int, int, int, int]], i: int) -> Chain:
-        held, cover, _, _ = ends[i]
+    def _chain(self, k: int, chains: list[tuple], i: int) -> Chain:
+        held, cover = chains[i][:2]
         places = []
         while i >= 0:
-            (start, _, n), (_, _, before, skip) = found[i], ends[i]
-            places.append((start + skip, start + n))
+            _, _, _, before, skip, (end, start, _) = chains[i]
+            places.append((start + skip, end))
             i = before
         return Chain(k, held, cover, tuple(places[::-1]))
 
-    def _best(self, k: int, found: list[tuple[int, int, int]]) -> Chain:
-        ends = self._ends(k, found)
-        return self._chain(k, found, ends, max(range(len(ends)), key=lambda i: ends[i][:2]))
+    def _best(self, k: int, found: list[Match]) -> Chain:
+        chains: list[tuple] = []
+        for m in found:
+            chains.append(self._link(k, chains, m, 0))
+        return self._chain(k, chains, max(range(len(chains)), key=lambda i: (*chains[i][:2], chains[i][2] - chains[i][5][0])))
 
-    def _chains(self, k: int, found: list[tuple[int, int, int]]) -> list[Chain]:
+    def _chains(self, k: int, found: list[Match]) -> list[Chain]:
         """As many disjoint chains that are enough as there are, each then as good as the room up to the next lets it be.
 
         Always taking the chain that is enough first gives most chains.
         """
         least: list[Chain] = []
-        rest = found
-        while rest:
-            ends = self._ends(k, rest, True)
-            c = self._chain(k, rest, ends, len(ends) - 1)
-            if not self._enough(c):
-                break
-            least.append(c)
-            rest = _between(rest, c.last + 1)
+        chains: list[tuple] = []
+        since = lo = 0
+        for end, start, at in found:
+            if end <= lo:
+                continue
+            s = max(start, lo)
+            chains.append(self._link(k, chains, (end, s, at + s - start), since))
+            if chains[-1][1] >= MIN_COVER * self.size[k] and self._enough(c := self._chain(k, chains, len(chains) - 1)):
+                least.append(c)
+                since, lo = len(chains), c.last + 1
         out: list[Chain] = []
         for i, c in enumerate(least):
-            room = _between(found, out[-1].last + 1 if out else 0, least[i + 1].first if i + 1 < len(least) else None)
+            room = _clipped(found, out[-1].last + 1 if out else 0, least[i + 1].first if i + 1 < len(least) else found[-1][0], self.size[k])
             best = self._best(k, room)
             out.append(best if self._enough(best) else c)
         return out
 
     def _enough(self, c: Chain) -> bool:
-        if self.size[c.template] < WHOLE:
-            return self._whole(c)
-        return c.cover >= MIN_COVER * self.size[c.template] and c.held >= len(self.deciding[c.template])
+        n = self.size[c.template]
+        least, extent = (n, n + SHORT_GAP) if n < WHOLE else (MIN_COVER * n, len(c.places) * (n + MAX_GAP))
+        return c.cover >= least and c.last + 1 - c.first <= extent and c.held >= len(self.deciding[c.template])
 
     def _whole(self, c: Chain) -> bool:
         return c.last + 1 - c.first == c.cover == self.size[c.template]
 
     def _winners(self, chains: Iterable[Chain]) -> list[Chain]:
-        """The chains without those that share `MIN_MATCH` words or more with a better one of another label."""
+        """The chains without those that share `MIN_MATCH` words or more with a better one, or with one as good of their own label."""
         rank = {c: (self._whole(c), c.cover) for c in chains}
         out: list[Chain] = []
+        at: dict[int, list[int]] = {}  # word of the text -> chains that hold it
         for c in sorted(rank, key=rank.get, reverse=True):
-            better = (x for x in out if rank[x] > rank[c] and self.labels[x.template] != self.labels[c.template])
-            if not any(x.shared(c) >= MIN_MATCH for x in better):
+            covered = [w for a, b in c.places for w in range(a, b)]
+            shared = Counter(o for w in covered for o in at.get(w, ()))
+            if not any(n >= MIN_MATCH and (rank[out[o]] > rank[c] or self.labels[out[o].template] == self.labels[c.template]) for o, n in shared.items()):
+                for w in covered:
+                    at.setdefault(w, []).append(len(out))
                 out.append(c)
         return sorted(out, key=lambda c: (c.template, c.first))
 
 
+def templates_of(texts: Mapping[str, str]) -> list[tuple[str, str]]:
+    """Templates of whole licence texts by label, as `scan_licenses` takes them; put them after TEMPLATES or in their place."""
+    return [(label, text) for label, text in texts.items()]
+
+
 def scan_licenses(documents: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """documents with n_words, n_base, first_word, last_word, base_labels, labels, score and spans of each text."""
     bounded_batches(documents.sparkSession)
