@@ -1,14 +1,17 @@
 """Mixes sources to target weights by Pfair scheduling; DataFrame operations only.
 
-Each source's rows, in the order of a hash, are cut into blocks of `block` rows. Block k of a source of weight w (its
-share of the slots) may not go before slot floor(k / w) and must go before slot ceil((k + 1) / w); in each slot,
-of the blocks that are released, the one with the earliest deadline goes. As the weights sum to one, every deadline
-is met and each source is at all times less than one block from its share.
-
-Weights are whole tickets, so the schedule repeats after as many slots as there are tickets: it is simulated for
-one period on the driver, from the weights alone, and block k's slot follows by arithmetic. Sources without a
-weight of their own, null among them, share one stream. When a stream has run out, the others go on in a new phase by
-their own weights; nothing is dropped or repeated. Phases come from one count per stream.
+Each source's rows, in the order of a hash, are cut into blocks of `block` rows. In the ideal mix every stream that has
+rows left gets its weight's share of each moment; where one runs out the others share by their own weights. Block k of a
+stream may not go before the slot in which the ideal mix begins it (its release time) and must go before the one in which
+the ideal mix has ended it (its deadline). In each slot, of the blocks that are released, the one with the earliest deadline
+goes. The ideal mix itself shows that all deadlines can be met, and earliest deadline first then meets them, so over the
+whole mix, past the end of any stream, each is at all times less than one block from its ideal share.
+
+Weights are whole tickets. In a time that passes `w` blocks of a stream of weight w, the ideal mix has passed
+min(blocks, w) of each; release times and deadlines are sums of such terms, in whole numbers. While no stream ends they
+repeat after as many slots as the running streams have tickets, and so does the schedule from when its state first repeats:
+the driver simulates it up to there and near the ends of streams, and skips the periods between. What it does depends on the
+weights alone, not on the number of rows. Sources without a weight of their own, null among them, share one stream.
 
 The order in a source is that of the MD5 of the ids. The place of a row in its source is its place in its bucket, the
 first three digits of the hash, plus the sizes of the buckets before; there are 4,096 a source, so no task holds one.
@@ -19,8 +22,9 @@ doc_ids have the hash of the empty string; a source of fewer rows than a block h
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Mapping
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -33,36 +37,82 @@ REST = "*"
 BLOCK = 16
 
 
-def period(tickets: Mapping[str, int]) -> list[str]:
-    """The stream of each slot of one period: earliest deadline first among released blocks."""
-    total, done, out = sum(tickets.values()), dict.fromkeys(tickets, 0), []
-    for slot in range(total):
-        released = [s for s, w in tickets.items() if done[s] < w and done[s] * total // w <= slot]
-        # deadline ceil((k + 1) / share); of equal ones, the block whose next window overlaps its own goes first, then by its weight
-        best = min(released, key=lambda s: (-(-(done[s] + 1) * total // tickets[s]), (done[s] + 1) * total % tickets[s] == 0, -tickets[s], s))
-        done[best] += 1
-        out.append(best)
-    return out
-
-
-def phases(tickets: Mapping[str, int], blocks: Mapping[str, int]) -> tuple[list[tuple], list[tuple]]:
-    """(phase, stream, first block, blocks, first slot, period, blocks a period) and (phase, stream, block of the period, slot of the period)."""
-    left, gone = {s: n for s, n in blocks.items() if n and tickets.get(s, 0) > 0}, dict.fromkeys(blocks, 0)
-    plan, places, phase, at = [], [], 0, 0
-    while left:
-        now = {s: tickets[s] for s in sorted(left)}
-        total, order = sum(now.values()), period(now)
-        slots = {s: [i for i, x in enumerate(order) if x == s] for s in now}
-        last = min((n - 1) // now[s] * total + slots[s][(n - 1) % now[s]] for s, n in left.items())  # the slot of the first stream's last block
-        used = {s: (last + 1) // total * now[s] + bisect_left(slots[s], (last + 1) % total) for s in now}
-        for s in now:
-            plan.append((phase, s, gone[s], used[s], at, total, now[s]))
-            places += [(phase, s, j, x) for j, x in enumerate(slots[s])]
-            gone[s] += used[s]
-            left[s] -= used[s]
-        left = {s: n for s, n in left.items() if n}
-        phase, at = phase + 1, at + last + 1
-    return plan, places
+class Schedule:
+    """Earliest deadline first over the blocks of all streams; what is kept are runs of slots that repeat."""
+
+    def __init__(self, tickets: Mapping[str, int], blocks: Mapping[str, int]):
+        self.blocks = {s: n for s, n in sorted(blocks.items()) if n and tickets.get(s, 0) > 0}
+        self.weight = {s: tickets[s] for s in self.blocks}
+        self.done, self.slot = dict.fromkeys(self.blocks, 0), 0
+        self.window = {s: self._window(s, 0) for s in self.blocks}
+        #: (stream, first block, blocks, first slot, slots of a period, blocks of a period) and (stream, period, block of it, slot of it).
+        self.plan: list[tuple] = []
+        self.places: list[tuple] = []
+
+    def ideal(self, s: str, k: int) -> tuple[int, int]:
+        """(numerator, denominator) of the time by which the ideal mix has passed k blocks of s."""
+        w = self.weight[s]
+        return sum(min(n * w, self.weight[r] * k) for r, n in self.blocks.items()), w
+
+    def _window(self, s: str, k: int) -> tuple[int, tuple]:
+        """Release time and rank of block k: its deadline; of equal ones, the block whose next window overlaps its own goes first, then by weight."""
+        a, w = self.ideal(s, k)
+        b, _ = self.ideal(s, k + 1)
+        return a // w, (-(-b // w), b % w == 0, -w, s)
+
+    def step(self) -> str:
+        best = min(rank for s, (release, rank) in self.window.items() if release <= self.slot)[-1]
+        self.done[best] += 1
+        self.slot += 1
+        if self.done[best] == self.blocks[best]:
+            del self.window[best]
+        else:
+            self.window[best] = self._window(best, self.done[best])
+        return best
+
+    def _write(self, order: list[str], first: dict[str, int], start: int, times: int = 1) -> None:
+        """Keeps the slots `order`, which begin at slot `start` with the blocks `first`, as often as they come in a row."""
+        number = len(self.plan)
+        slots: dict[str, list[int]] = {}
+        for x, s in enumerate(order):
+            slots.setdefault(s, []).append(x)
+        for s, xs in slots.items():
+            self.plan.append((s, number, first[s], len(xs) * times, start, len(order), len(xs)))
+            self.places += [(s, number, j, x) for j, x in enumerate(xs)]
+
+    def run(self) -> tuple[list[tuple], list[tuple]]:
+        ends = sorted({Fraction(n, self.weight[s]) for s, n in self.blocks.items()})
+        order: list[str] = []
+        first, start, seen = dict(self.done), self.slot, {}
+        while self.window:
+            least = min(Fraction(self.done[s], self.weight[s]) for s in self.window)
+            most = max(Fraction(self.done[s] + 1, self.weight[s]) for s in self.window)
+            phase = bisect_right(ends, least)
+            if phase < len(ends) and most <= ends[phase] and all(n < ends[phase] * self.weight[s] for s, n in self.blocks.items() if s not in self.window):
+                # no stream ends between the windows that are looked at: they repeat
+                total = sum(self.weight[s] for s in self.window)
+                state = (phase, *(self.done[s] * total - self.slot * self.weight[s] for s in self.window))
+                at = seen.setdefault(state, len(order))
+                if at < len(order):
+                    cycle = order[at:]
+                    ahead = {s: cycle.count(s) for s in self.window}
+                    times = min((ends[phase] * self.weight[s] - self.done[s] - 1) // n for s, n in ahead.items())
+                    if times > 0:
+                        self._write(order, first, start)
+                        self._write(cycle, self.done, self.slot, times)
+                        for s, n in ahead.items():
+                            self.done[s] += n * times
+                            self.window[s] = self._window(s, self.done[s])
+                        self.slot += len(cycle) * times
+                        order, first, start, seen = [], dict(self.done), self.slot, {}
+            order.append(self.step())
+        self._write(order, first, start)
+        return self.plan, self.places
+
+
+def schedule(tickets: Mapping[str, int], blocks: Mapping[str, int]) -> tuple[list[tuple], list[tuple]]:
+    """(stream, run, first block, blocks, first slot, period, blocks a period) and (stream, run, block of the period, slot of the period)."""
+    return Schedule(tickets, blocks).run()
 
 
 def _stream(tickets: Mapping[str, int], source: Column) -> Column:
@@ -86,9 +136,9 @@ def mix(documents: DataFrame, tickets: Mapping[str, int], block: int = BLOCK, so
     bucketed = F.conv(F.substring(digest, 1, 3), 16, 10).cast("int")  # as the digests sort
     sizes = documents.select(of.alias("s"), bucketed.alias("b")).groupBy("s", "b").count()
     counts = {r["s"]: r["n"] for r in sizes.groupBy("s").agg(F.sum("count").alias("n")).collect()}  # one row a stream, of which there are as many as tickets
-    plan, places = phases(tickets, {s: -(-n // block) for s, n in counts.items()})
-    plan_df = spark.createDataFrame(plan, "phase int, ps string, first long, n long, start long, total long, a long")
-    places_df = spark.createDataFrame(places, "qphase int, qs string, j long, x long")
+    plan, places = schedule(tickets, {s: -(-n // block) for s, n in counts.items()})
+    plan_df = spark.createDataFrame(plan, "ps string, run int, first long, n long, start long, total long, a long")
+    places_df = spark.createDataFrame(places, "qs string, qrun int, j long, x long")
     ahead = sizes.select("s", "b", (F.sum("count").over(W.partitionBy("s").orderBy("b")) - F.col("count")).alias(before))
     own = documents.columns
     rows = documents.select(*own, of.alias(stream), bucketed.alias(bucket), digest.alias(hashed))
@@ -98,7 +148,7 @@ def mix(documents: DataFrame, tickets: Mapping[str, int], block: int = BLOCK, so
     rows = rows.withColumn(number, F.floor(at / block).cast("long")).withColumn(place, F.pmod(at, F.lit(block)).cast("long"))
     inside = F.col(number) - F.col("first")
     rows = rows.join(F.broadcast(plan_df), (F.col(stream) == F.col("ps")) & (F.col(number) >= F.col("first")) & (inside < F.col("n")))
-    rows = rows.join(F.broadcast(places_df), (F.col("phase") == F.col("qphase")) & (F.col(stream) == F.col("qs")) & (F.pmod(inside, F.col("a")) == F.col("j")))
+    rows = rows.join(F.broadcast(places_df), (F.col("run") == F.col("qrun")) & (F.col(stream) == F.col("qs")) & (F.pmod(inside, F.col("a")) == F.col("j")))
     return rows.select(*own, stream, number, (F.col("start") + F.floor(inside / F.col("a")).cast("long") * F.col("total") + F.col("x")).alias(slot), place).toDF(*names)
 
 

@@ -107,19 +107,18 @@ d AS (
   SELECT doc_id, source, coalesce(t.s, '{mixing.REST}') AS stream, row_number() OVER (PARTITION BY coalesce(t.s, '{mixing.REST}') ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS pos
   FROM documents LEFT JOIN t ON t.s = source AND t.s <> '{mixing.REST}'),
 c AS (SELECT stream, max(pos) // {mixing.BLOCK} + 1 AS n FROM d GROUP BY stream),
--- one slot after the other: of the released blocks the one with the earliest deadline; when a stream ends, the rest begin anew
-sim(slot, began, st, got) AS (
-  SELECT -1::BIGINT, 0::BIGINT, list({{'s': t.s, 'w': t.w::BIGINT, 'n': c.n::BIGINT, 'k': 0::BIGINT, 'b': 0::BIGINT}} ORDER BY t.s), {{'s': '', 'b': 0::BIGINT}} FROM t JOIN c ON c.stream = t.s
+p AS (SELECT list({{'s': t.s, 'w': t.w::BIGINT, 'n': c.n::BIGINT}} ORDER BY t.s) AS p FROM t JOIN c ON c.stream = t.s),
+-- one slot after the other: of the blocks that the ideal mix has begun, the one that it ends first
+sim(slot, st, got) AS (
+  SELECT -1::BIGINT, list_transform(p, lambda x: {{'s': x.s, 'w': x.w, 'n': x.n, 'k': 0::BIGINT}}), {{'s': '', 'b': 0::BIGINT}} FROM p WHERE p IS NOT NULL
   UNION ALL
-  SELECT slot + 1, CASE WHEN len(list_filter(nxt, lambda x: x.n = 0)) > 0 THEN slot + 2 ELSE began END,
-    CASE WHEN len(list_filter(nxt, lambda x: x.n = 0)) > 0 THEN list_transform(list_filter(nxt, lambda x: x.n > 0), lambda x: {{'s': x.s, 'w': x.w, 'n': x.n, 'k': 0::BIGINT, 'b': x.b}}) ELSE nxt END,
-    {{'s': best, 'b': list_filter(st, lambda x: x.s = best)[1].b}}
+  SELECT slot + 1, list_transform(st, lambda x: CASE WHEN x.s = best THEN {{'s': x.s, 'w': x.w, 'n': x.n, 'k': x.k + 1}} ELSE x END), {{'s': best, 'b': list_filter(st, lambda x: x.s = best)[1].k}}
   FROM (
-    SELECT slot, began, st, best, list_transform(st, lambda x: CASE WHEN x.s = best THEN {{'s': x.s, 'w': x.w, 'n': x.n - 1, 'k': x.k + 1, 'b': x.b + 1}} ELSE x END) AS nxt
-    FROM (
-      SELECT slot, began, st, list_min(list_transform(list_filter(st, lambda x: x.k * total // x.w <= slot + 1 - began),
-        lambda x: {{'d': (x.k + 1) * total // x.w + CASE WHEN (x.k + 1) * total % x.w = 0 THEN 0 ELSE 1 END, 'e': (x.k + 1) * total % x.w = 0, 'w': -x.w, 's': x.s}})).s AS best
-      FROM (SELECT *, list_sum(list_transform(st, lambda x: x.w))::BIGINT AS total FROM sim WHERE len(st) > 0)))),
+    SELECT slot, st, list_min(list_transform(
+      list_filter(st, lambda x: x.k < x.n AND list_sum(list_transform(p, lambda q: least(q.n * x.w, q.w * x.k)))::BIGINT // x.w <= slot + 1),
+      lambda x: {{'d': (list_sum(list_transform(p, lambda q: least(q.n * x.w, q.w * (x.k + 1))))::BIGINT + x.w - 1) // x.w,
+        'e': list_sum(list_transform(p, lambda q: least(q.n * x.w, q.w * (x.k + 1))))::BIGINT % x.w = 0, 'w': -x.w, 's': x.s}})).s AS best
+    FROM sim, p WHERE len(list_filter(st, lambda x: x.k < x.n)) > 0)),
 slots AS (SELECT slot, got.s AS stream, got.b AS block_no FROM sim WHERE slot >= 0)
 SELECT doc_id, source, d.stream, pos // {mixing.BLOCK} AS block_no, slot, pos % {mixing.BLOCK} AS place
 FROM d JOIN slots ON slots.stream = d.stream AND slots.block_no = pos // {mixing.BLOCK}

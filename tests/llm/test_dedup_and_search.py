@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -130,16 +131,49 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {(i, 0) for i in range(1, 41)} | {(100 + i, 100) for i in range(1, 30)}
 
 
-@pytest.mark.parametrize("tickets", [{"a": 1}, {"a": 3, "b": 2}, {"a": 7, "b": 5, "c": 3, "d": 1}, {"a": 10, "b": 1, "c": 1}, {"a": 2, "b": 2, "c": 3, "d": 4, "e": 6}])
-def test_period_keeps_windows(tickets):
-    order, total = mixing.period(tickets), sum(tickets.values())
-    done = dict.fromkeys(tickets, 0)
-    for slot, s in enumerate(order):
-        k = done[s]
-        assert k * total // tickets[s] <= slot < -(-(k + 1) * total // tickets[s])
-        done[s] += 1
-        assert all(abs(done[x] - tickets[x] * (slot + 1) / total) < 1 for x in tickets)
-    assert done == tickets
+def ideal(tickets, blocks, slots):
+    """Blocks of each stream that the ideal mix has passed after so many slots: shares by weight, anew when a stream ends."""
+    passed, left = dict.fromkeys(blocks, Fraction(0)), Fraction(slots)
+    while left:
+        running = [s for s in blocks if passed[s] < blocks[s]]
+        total = sum(tickets[s] for s in running)
+        time = min(left, *((blocks[s] - passed[s]) * total / tickets[s] for s in running))
+        for s in running:
+            passed[s] += time * tickets[s] / total
+        left -= time
+    return passed
+
+
+def slots_of(plan, places):
+    at = {(s, run, j): x for s, run, j, x in places}
+    return {(s, first + i): start + i // a * total + at[s, run, i % a] for s, run, first, n, start, total, a in plan for i in range(n)}
+
+
+def test_schedule_stays_within_a_block_past_every_end():
+    rnd = random.Random(1)
+    for case in range(80):
+        tickets = {f"s{k}": rnd.randrange(1, 12) for k in range(rnd.randrange(1, 8))}
+        blocks = {s: rnd.randrange(0, 120 if case % 2 else 30) for s in tickets}
+        got = slots_of(*mixing.schedule(tickets, blocks))
+        assert sorted(got.values()) == list(range(sum(blocks.values())))
+        done = dict.fromkeys(blocks, 0)
+        for n, (s, k) in enumerate(sorted(got, key=got.get), 1):
+            assert done[s] == k
+            done[s] += 1
+            assert all(abs(done[x] - share) < 1 for x, share in ideal(tickets, blocks, n).items())
+
+
+def test_schedule_work_follows_the_weights_alone():
+    tickets = {"a": 7, "b": 5, "c": 3, "d": 1}
+    sizes = [len(mixing.schedule(tickets, dict.fromkeys(tickets, n))[1]) for n in (10**4, 10**6, 10**9)]
+    assert sizes[2] <= 2 * sizes[0]
+    # a long mix goes as one simulated slot by slot
+    blocks = {"a": 500, "b": 499, "c": 130, "d": 77}
+    slow, order = mixing.Schedule(tickets, blocks), {}
+    while slow.window:
+        s = slow.step()
+        order[s, slow.done[s] - 1] = slow.slot - 1
+    assert slots_of(*mixing.schedule(tickets, blocks)) == order
 
 
 def test_mix(spark):
@@ -155,14 +189,12 @@ def test_mix(spark):
     slots = sorted((v[0][0], k) for k, v in blocks.items())
     assert [s for s, _ in slots] == list(range(len(slots)))
     assert all(len(v) == 4 for (s, k), v in blocks.items() if (s, k + 1) in blocks)
-    seen, weights, total = defaultdict(int), {"a": 3, "b": 2, "c": 1, "*": 1}, 7
-    last = {s: max(k for x, k in blocks if x == s) for s in weights}
+    seen, weights = defaultdict(int), {"a": 3, "b": 2, "c": 1, "*": 1}
+    sizes = {s: 1 + max(k for x, k in blocks if x == s) for s in weights}
     for n, (_, (s, k)) in enumerate(slots, 1):
         assert seen[s] == k
         seen[s] += 1
-        assert all(abs(seen[x] - weights[x] * n / total) < 1 for x in weights)
-        if seen[s] > last[s]:
-            break
+        assert all(abs(seen[x] - share) < 1 for x, share in ideal(weights, sizes, n).items())
     assert mixing.mix(docs.limit(0), {"a": 1}).count() == 0
     assert mixing.in_mixed_order(docs, {"a": 3}).columns == docs.columns
 
