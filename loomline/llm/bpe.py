@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import append_columns, bounded_batches, per_worker
+from .common import append_columns, per_worker
 
 #: Words that a worker's caches hold before they start anew, and the characters of the longest that is kept.
 CACHE, LONGEST = 500_000, 64
@@ -277,7 +277,6 @@ def _encoder(path: str) -> Encoder:
 
 def encode(documents: DataFrame, path: str) -> DataFrame:
     """documents with the columns ids (array of int) and decoded (string)."""
-    bounded_batches(documents.sparkSession)
 
     def make() -> Callable[[list[str]], list]:
         encoder = _encoder(path)
@@ -293,7 +292,6 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """encoded with one more column, decoded: the text of an array of token numbers (null: empty)."""
-    bounded_batches(encoded.sparkSession)
     out = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
     at = encoded.columns.index(ids)
 
@@ -309,7 +307,6 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 def digests(documents: DataFrame, path: str, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, the columns to keep, n_tokens, ids_sha256 and decoded_sha256 of every document; the long columns stay in the worker."""
-    bounded_batches(documents.sparkSession)
 
     def make() -> Callable[[list[str]], list]:
         encoder = _encoder(path)
@@ -325,4 +322,4 @@ def digests(documents: DataFrame, path: str, keep: Sequence[str] = ()) -> DataFr
         return work
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return append_columns(documents.select("doc_id", *keep, "text"), "text", fields, make).drop("text")
+    return append_columns(documents.select("doc_id", *keep, "text"), "text", fields, make, keep_text=False)

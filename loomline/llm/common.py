@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -28,12 +29,14 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, as in tests, a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset on a local master, as in tests, a local one."""
     set_already = spark.conf.get("spark.checkpoint.dir", None)
     if set_already:
         return set_already.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = Path(tempfile.mkdtemp(prefix="loomline-")).as_uri()
         spark.sparkContext.setCheckpointDir(own)
         own = spark.sparkContext.getCheckpointDir() or own
@@ -91,26 +94,43 @@ def masked(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
     return df.toDF(*names), by.__getitem__
 
 
-def append_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[list[str]], list]]) -> DataFrame:
+def append_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[list[str]], list]], keep_text: bool = True) -> DataFrame:
     """df with more columns worked out from the texts in Arrow batches; nothing is shuffled.
 
     make() runs once in each task and gives a function from texts (null: empty) to one sequence per field.
-    The function sees whole texts, as many as come to about SLICE_BYTES at a time, or one that is longer.
+    The function sees whole texts, as many as come to about SLICE_BYTES at a time, or one that is longer. Without
+    keep_text the texts do not come back from the workers.
     """
-    schema = T.StructType([*df.schema.fields, *fields])
-    types = [to_arrow_type(f.dataType) for f in fields]
     at = df.columns.index(text)
+    kept = [i for i in range(len(df.columns)) if keep_text or i != at]
+    schema = T.StructType([*(df.schema.fields[i] for i in kept), *fields])
+    types = [to_arrow_type(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for whole in batches:
             for batch in slices(whole, at):
                 made = work([t or "" for t in batch.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, k) for v, k in zip(made, types, strict=True))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *(pa.array(v, k) for v, k in zip(made, types, strict=True))], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
+#: Characters of a very long text that are worked on at once, where that does not change the result.
+PART = 1 << 20
+_SPACE = re.compile("[\t-\r ]")
+
+
+def parts(text: str, size: int | None = None) -> Iterator[str]:
+    """A text in parts of about `size` characters, cut before ASCII white space; together they are the text."""
+    start, size = 0, size or PART
+    while start < len(text):
+        gap = _SPACE.search(text, start + size) if start + size < len(text) else None
+        end = gap.start() if gap else len(text)
+        yield text[start:end]
+        start = end
+
+
 #: Bytes of text that a worker turns into Python objects at once; one text may be longer.
 SLICE_BYTES = 4 << 20
 
@@ -127,13 +147,6 @@ def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Fewer rows in an Arrow batch than the default 10,000, so that very long texts don't add up; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, rows)
-
-
 _WORKER: dict = {}
 
 

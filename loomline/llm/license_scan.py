@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import append_columns, bounded_batches
+from .common import append_columns
 from .license_texts import TEXTS
 
 #: The base phrases and their labels.
@@ -328,9 +328,8 @@ def templates_of(texts: Mapping[str, str]) -> list[tuple[str, str]]:
     return [(label, text) for label, text in texts.items()]
 
 
-def scan_licenses(documents: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
+def scan_licenses(documents: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, keep_text: bool = True) -> DataFrame:
     """documents with n_words, n_base, first_word, last_word, base_labels, labels, score and spans of each text."""
-    bounded_batches(documents.sparkSession)
     span = T.StructType([T.StructField("label", T.StringType()), T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])
     kinds = {"n_words": T.LongType(), "n_base": T.LongType(), "first_word": T.LongType(), "last_word": T.LongType(), "base_labels": T.StringType(), "labels": T.StringType(), "score": T.DoubleType(), "spans": T.ArrayType(span)}
 
@@ -345,9 +344,9 @@ def scan_licenses(documents: DataFrame, phrases: Sequence[tuple[str, str]] = PHR
 
         return work
 
-    return append_columns(documents, "text", [T.StructField(k, t) for k, t in kinds.items()], make)
+    return append_columns(documents, "text", [T.StructField(k, t) for k, t in kinds.items()], make, keep_text)
 
 
 def license_report(documents: DataFrame) -> DataFrame:
     """The digest columns of every document."""
-    return scan_licenses(documents.select("doc_id", "text")).drop("text", "spans")
+    return scan_licenses(documents.select("doc_id", "text"), keep_text=False).drop("spans")
