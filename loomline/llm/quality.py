@@ -1,4 +1,4 @@
-"""Quality: naive Bayes support vectors, a hinge-loss linear model over n-gram indicators.
+"""Quality: naive Bayes support vectors, a linear model of the plain hinge loss over n-gram indicators.
 
 Indicators are n-grams (1 to 3) of word shapes with their share of the text, and words and word pairs themselves, so
 that junk of ordinary-looking words can be told; all are scaled by class log-count ratios. The model is fitted by dual coordinate descent. See classify.py for bounds and the defined results of odd rows.
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import classify, linear
 from .common import fresh
 
-SPEC = classify.Spec(label="quality", features=linear.shape_and_word_ngrams, bits=20, folds=3, held_out=1, keep=1 << 15)
+SPEC = classify.Spec(label="quality", features=linear.shape_and_word_ngrams, bits=20, folds=3, held_out=1)
 
 
 def quality(documents: DataFrame, labels: DataFrame, spec: classify.Spec = SPEC) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from . import classify, linear
 
-SPEC = classify.Spec(label="toxic", features=linear.char_ngrams, bits=20, folds=5, held_out=0, keep=1 << 15, cost=0.02, least_z=3.0)
+SPEC = classify.Spec(label="toxic", features=linear.char_ngrams, bits=20, folds=5, held_out=0, cost=0.02, squared=True, smooth=16.0)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, spec: classify.Spec = SPEC) -> DataFrame:
