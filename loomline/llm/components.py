@@ -50,4 +50,6 @@ def components(edges: DataFrame) -> DataFrame:
         if after == state:
             break
         state = after
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out._staged_path = now._staged_path  # for drop_table
+    return out

@@ -4,19 +4,24 @@ Distinct fingerprints are dealt to shards so that any two within `RADIUS` bits m
 and two that differ in three bits agree in one block whole. A shard (block, value) becomes one BK-tree, whose
 children are keyed by their Hamming distance to the parent; a search follows only edges within the radius of its own
 distance. A shard of more than `SHARD` fingerprints is split the same way again on the bits that its members do not
-share (four blocks of what is left), at each of `LEVELS` levels; what is still larger then has at most 2^20 members,
-is cut into trees of SHARD, and each is sent to all its members. So trees are of bounded size and no link is lost.
+share (four blocks of what is left), at each of `LEVELS` levels; what is still larger then differs in 21 bits at most and so
+has at most 2^21 members. It is cut into trees of about `SHARD` members; these trees are broadcast to the tasks that hold the
+shards' members, which follow the same edges. Trees are of bounded size, their table is broadcast only up to
+`BROADCAST` bytes (beyond that trees and members meet in a shuffle), and no link is lost.
 
-A tree's task returns a spanning forest of the links it finds (at most one edge a member), not all pairs; see
+A task returns a spanning forest of the links it finds (fewer edges than the members it has seen), not all pairs; see
 components.py for what joins these. Copies share a fingerprint and meet in the grouping, before any shard.
 
 Cases: null counts as empty; a text without words has fingerprint zero, which links like any other; a text of fewer
-than three words is one shingle; repeated rows and ids share a component; component_id is null only where all ids are.
+than three words is one shingle; texts of any length (words are taken part after part: memory is the text and some MB);
+repeated rows and ids share a component; component_id is null only where all ids are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, bounded_batches, drop_table, masked, stage_table
+from .common import append_columns, chunks, drop_table, masked, parts, stage_table
 from .components import components
 
 RADIUS, BLOCKS, SHARD, LEVELS, SEED, SHINGLE = 3, 4, 1024, 4, 42, 3
+#: Bytes of the trees' fingerprints up to which they are broadcast.
+BROADCAST = 16 << 20
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -36,28 +43,34 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     """Signed 64 bits; bit i is set if it is set in over half of the XXH64 values of the shingles."""
     from xxhash import xxh64_intdigest
 
-    words = text.encode("utf-8", "replace").lower().split()  # of bytes: A-Z and the six ASCII spaces only
-    if not words:
-        return 0
-    whole = b" ".join(words)
-    if len(words) <= size:
-        values = [xxh64_intdigest(whole, SEED)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1
-        starts = np.concatenate(([0], ends[:-size] + 1))
-        values = [xxh64_intdigest(whole[a:b], SEED) for a, b in zip(starts.tolist(), ends[size - 1 :].tolist())]
-    columns = np.array(values, np.uint64).astype("<u8").view(np.uint8).reshape(-1, 8)
-    set_ = np.concatenate([np.bincount(columns[:, k], minlength=256) @ _BITS for k in range(8)])
-    return int(np.packbits(set_ * 2 > len(values), bitorder="little").view("<i8")[0])
-
-
-def with_fingerprint(documents: DataFrame, name: str, text: str = "text") -> DataFrame:
-    bounded_batches(documents.sparkSession)
-
+    set_, total, last = np.zeros(64, np.int64), 0, []  # last: the words before a part that its first shingles begin with
+
+    def count(values: list[int]) -> None:
+        columns = np.array(values, np.uint64).astype("<u8").view(np.uint8).reshape(-1, 8)
+        set_[:] += np.concatenate([np.bincount(columns[:, k], minlength=256) @ _BITS for k in range(8)])
+
+    for part in parts(text):
+        words = last + part.encode("utf-8", "replace").lower().split()  # of bytes: A-Z and the six ASCII spaces only
+        last = words[max(0, len(words) - size + 1) :]
+        if len(words) >= size:
+            whole = b" ".join(words)
+            ends = np.cumsum([len(w) + 1 for w in words]) - 1
+            starts = np.concatenate(([0], ends[:-size] + 1))
+            count([xxh64_intdigest(whole[a:b], SEED) for a, b in zip(starts.tolist(), ends[size - 1 :].tolist())])
+            total += len(starts)
+    if not total:
+        if not last:
+            return 0
+        count([xxh64_intdigest(b" ".join(last), SEED)])
+        total = 1
+    return int(np.packbits(set_ * 2 > total, bitorder="little").view("<i8")[0])
+
+
+def with_fingerprint(documents: DataFrame, name: str, text: str = "text", keep_text: bool = True) -> DataFrame:
     def make() -> Callable[[list[str]], list]:
         return lambda texts: [[fingerprint(t) for t in texts]]
 
-    return append_columns(documents, text, [T.StructField(name, T.LongType())], make)
+    return append_columns(documents, text, [T.StructField(name, T.LongType())], make, keep_text)
 
 
 class BKTree:
@@ -97,25 +110,62 @@ class BKTree:
         return new
 
 
-def forest(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among distinct unsigned values."""
-    tree, parent, edges = BKTree(), [], []
+class _Sets:
+    """Disjoint sets of the numbers from 0."""
 
-    def root(i: int) -> int:
+    def __init__(self) -> None:
+        self.parent: list[int] = []
+
+    def add(self) -> None:
+        self.parent.append(len(self.parent))
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether the two were in different sets."""
+        i, j = self.root(i), self.root(j)
+        self.parent[i] = j
+        return i != j
+
+    def root(self, i: int) -> int:
+        parent = self.parent
         while parent[i] != i:
             parent[i] = i = parent[parent[i]]
         return i
 
+
+def _grown(values: list[int], radius: int) -> tuple[BKTree, _Sets, list[tuple[int, int]]]:
+    """The tree of distinct unsigned values, the sets that their links make and the edges of a spanning forest."""
+    tree, sets, edges = BKTree(), _Sets(), []
     for x in values:
         near = tree.search(x, radius)
         i = tree.add(x)
-        parent.append(i)
-        for j in near:
-            r = root(j)
-            if r != root(i):
-                parent[r] = root(i)
-                edges.append((x, tree.value[j]))
-    return edges
+        sets.add()
+        edges += [(x, tree.value[j]) for j in near if sets.join(j, i)]
+    return tree, sets, edges
+
+
+def forest(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links among distinct unsigned values."""
+    return _grown(values, radius)[2]
+
+
+def sought(trees: Iterable[list[int]], seekers: list[int], radius: int = RADIUS) -> Iterator[tuple[int, int]]:
+    """Edges that, with those of each tree's forest, connect seekers and trees as the links between them do.
+
+    Each joins two sets of seekers and trees' components, so there are fewer than both together.
+    """
+    sets = _Sets()
+    for _ in seekers:
+        sets.add()
+    for members in trees:
+        tree, inside, _ = _grown(members, radius)
+        number: dict[int, int] = {}
+        for n, s in enumerate(seekers):
+            for j in tree.search(s, radius):
+                if (r := inside.root(j)) not in number:
+                    number[r] = len(sets.parent)
+                    sets.add()
+                if sets.join(number[r], n):
+                    yield s, tree.value[j]
 
 
 _EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -140,16 +190,13 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows `tree`, `seekers` (both bounded) to the edges of seekers to the tree, one for each tree component met."""
-    for batch in batches:
-        edges = []
-        for members, seekers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            tree = BKTree()
-            for m in sorted(set(members)):
-                tree.add(m & _LOW)
-            for s in seekers:
-                edges += [(s & _LOW, tree.value[j]) for j in tree.search(s & _LOW, RADIUS) if tree.value[j] != s & _LOW]
-        yield _edge_batch(edges)
+    """Rows `who`, `members`, `seekers` (both bounded, no value in both) to edges; those of the same seekers, which a join gives in a row, together."""
+    rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+    for _, same in groupby(rows, key=itemgetter(0)):
+        first = next(same)
+        trees = ([m & _LOW for m in r[1]] for r in chain([first], same))
+        for edges in chunks(sought(trees, [s & _LOW for s in first[2]]), 65_536):
+            yield _edge_batch(edges)
 
 
 def _masks() -> list[list[list[int]]]:
@@ -169,8 +216,8 @@ def _masks() -> list[list[list[int]]]:
 def links(fingerprints: DataFrame) -> DataFrame:
     """Distinct fingerprints (fp) to edges a, b that connect exactly those that links of RADIUS bits connect."""
     edges: list[DataFrame] = []
-    todo = fingerprints.select("fp", F.lit(0).alias("path"), F.array().cast("array<long>").alias("key"))
-    for level, masks in enumerate(_masks()):
+    todo, held = fingerprints.select("fp", F.lit(0).alias("path"), F.array().cast("array<long>").alias("key")), None
+    for masks in _masks():
         taken = F.element_at(F.array(*(F.array(*(F.lit(_signed(m)) for m in row)) for row in masks)), F.col("path") + 1)
         dealt = todo.select("fp", "path", "key", F.posexplode(taken).alias("block", "mask")).select(
             "fp", (F.col("path") * BLOCKS + F.col("block")).alias("path"), F.concat("key", F.array(F.col("fp").bitwiseAND(F.col("mask")))).alias("key")
@@ -178,42 +225,60 @@ def links(fingerprints: DataFrame) -> DataFrame:
         size = stage_table(dealt.groupBy(F.col("path").alias("p"), F.col("key").alias("k")).agg(F.count("*").alias("n")).where("n > 1"), "bk-sizes")
         sized = stage_table(dealt.join(size, (F.col("path") == F.col("p")) & (F.col("key") == F.col("k"))).select("fp", "path", "key", "n"), "bk-shards")
         drop_table(size)
+        if held is not None:
+            drop_table(held)
+        held = sized
         shards = sized.where(F.col("n") <= SHARD).groupBy("path", "key").agg(F.collect_list("fp").alias("members"))
         edges.append(stage_table(shards.select("members").mapInArrow(_grow, _EDGES), "bk-edges"))
         todo = sized.where(F.col("n") > SHARD).select("fp", "path", "key")
         if todo.isEmpty():
             break
     else:
-        edges.append(stage_table(_broadcast_trees(sized.where(F.col("n") > SHARD)), "bk-edges"))
+        edges += _broadcast_trees(sized.where(F.col("n") > SHARD))
+    drop_table(held)
     out = edges[0]
     for e in edges[1:]:
         out = out.unionAll(e)
-    return out
-
-
-def _broadcast_trees(rows: DataFrame) -> DataFrame:
-    """Shards that no level has made small: trees of about SHARD members, each sent to blocks of all members."""
-    cut = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / F.lit(SHARD / 2)))
-    parts = rows.withColumn("part", cut).groupBy("path", "key", "n", "part").agg(F.collect_list("fp").alias("members"))
-    seekers = parts.select("path", "key", F.col("members").alias("seekers"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.lit(SHARD / 2)) - 1)).alias("part"))
-    return parts.join(seekers, ["path", "key", "part"]).select("members", "seekers").mapInArrow(_seek, _EDGES)
+    found = stage_table(out, "bk-links")
+    for e in edges:
+        drop_table(e)
+    return found
+
+
+def _broadcast_trees(rows: DataFrame) -> list[DataFrame]:
+    """Edges of shards that no level has made small: trees of about SHARD members, broadcast to blocks of the shard's other members."""
+    parts_ = F.ceil(F.col("n") / F.lit(SHARD / 2))
+    cut = rows.withColumn("part", F.pmod(F.xxhash64("fp"), parts_)).groupBy("path", "key", "n", "part").agg(F.collect_list("fp").alias("members"))
+    trees = stage_table(cut, "bk-trees")
+    inside = stage_table(trees.select("members").mapInArrow(_grow, _EDGES), "bk-edges")
+    # each pair of parts once: the tree is that of the lesser number
+    seekers = trees.select(F.col("path").alias("p"), F.col("key").alias("k"), F.col("part").alias("of"), F.monotonically_increasing_id().alias("who"), F.col("members").alias("seekers"))
+    mine = trees.select("path", "key", "part", "members")
+    if (trees.agg(F.sum(F.size("members"))).first()[0] or 0) * 8 <= BROADCAST:
+        mine = F.broadcast(mine)
+    met = seekers.join(mine, (F.col("p") == F.col("path")) & (F.col("k") == F.col("key")) & (F.col("part") < F.col("of")))
+    between = stage_table(met.select("who", "members", "seekers").mapInArrow(_seek, _EDGES), "bk-edges")
+    drop_table(trees)
+    return [inside, between]
 
 
 def classes(fingerprints: DataFrame) -> DataFrame:
     """Rows doc, fp to fp, component (the least doc that is reached) and root, a fingerprint that names the component."""
     nodes = stage_table(fingerprints.groupBy("fp").agg(F.min("doc").alias("first")), "simhash-nodes")
-    labels = components(links(nodes.select("fp")))
+    edges = links(nodes.select("fp"))
+    labels = components(edges)
+    drop_table(edges)
     rooted = stage_table(nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     least = stage_table(rooted.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component")), "simhash-least")
     out = stage_table(rooted.join(least, F.col("root") == F.col("r")).select("fp", "component", "root"), "simhash-classes")
-    for t in (nodes, rooted, least):
+    for t in (labels, nodes, rooted, least):
         drop_table(t)
     return out
 
 
 def simhash(documents: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
-    marked = stage_table(with_fingerprint(documents.select("doc_id", "text"), "fp").select(F.col("doc_id").alias("doc"), "fp"), "simhash-docs")
+    marked = stage_table(with_fingerprint(documents.select("doc_id", "text"), "fp", keep_text=False).select(F.col("doc_id").alias("doc"), "fp"), "simhash-docs")
     found = classes(marked).withColumnRenamed("fp", "other")
     return marked.join(found, F.col("fp") == F.col("other")).select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
