@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomline.llm import components, exact_dedup, mixing, simhash, topk, warc_fixity
+from loomline.llm import common, components, exact_dedup, mixing, simhash, topk, warc_fixity
 
 DOCS = "doc_id long, text string, source string, group_size string, Kept string"
 
@@ -115,6 +115,51 @@ def test_links_lose_nothing(spark, monkeypatch, shard):
     assert len(set(zip(mine, roots))) == len(set(mine)) == len(set(roots))
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_broadcast_trees_lose_nothing(spark, monkeypatch, limit):
+    """Shards that stay large: members of a few close groups, so that almost all pairs are links."""
+    monkeypatch.setattr(simhash, "SHARD", 16)
+    monkeypatch.setattr(simhash, "LEVELS", 1)
+    monkeypatch.setattr(simhash, "BROADCAST", limit)
+    rnd = random.Random(8)
+    values = sorted({c << 48 | rnd.getrandbits(5) for c in (1, 7, 900) for _ in range(60)} | {rnd.getrandbits(63) for _ in range(30)})
+    edges = simhash.links(spark.createDataFrame([(simhash._signed(v),) for v in values], "fp long"))
+    got = {r.node: r.root for r in components.components(edges).collect()}
+    roots = plain_components(values)
+    assert len(set(zip([got.get(v, v) for v in values], roots))) == len(set(roots)) == len({got.get(v, v) for v in values})
+    assert edges.count() < 4 * 3 * len(values)  # each member in four shards: its tree's forest, and the edges to other trees
+
+
+def test_edges_are_fewer_than_values():
+    values = random.Random(2).sample(range(1 << 11), 1351)
+    parts = [values[k::5] for k in range(5)]
+    edges = [e for p in parts for e in simhash.forest(p)]
+    for n, p in enumerate(parts):
+        between = list(simhash.sought(parts[:n], p))
+        assert len(between) < len(p) + n and all((a ^ b).bit_count() <= 3 and a in p and b not in p for a, b in between)
+        edges += between
+    assert len(edges) < 2 * len(values)
+    parent = {v: v for v in values}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a, b in edges:
+        parent[root(a)] = root(b)
+    assert len({root(v) for v in values}) == len(set(plain_components(values)))
+
+
+def test_fingerprint_of_a_text_in_parts(monkeypatch):
+    rnd = random.Random(3)
+    drawn = [" ".join(rnd.choice(["a", "BB", "ccc\n", "é\t", "x" * 40]) for _ in range(rnd.randrange(60))) for _ in range(100)]
+    want = [plain_fingerprint(t) for t in drawn]
+    for part in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(common, "PART", part)
+        assert [simhash.fingerprint(t) & (1 << 64) - 1 for t in drawn] == want
+
+
 def test_bk_tree():
     rnd = random.Random(1)
     values = list({rnd.getrandbits(12) for _ in range(300)})

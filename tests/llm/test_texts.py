@@ -1,10 +1,16 @@
 """Token counts, BPE, licences and classifiers against the libraries, plain code and held-out rows."""
 
+import dataclasses
 import hashlib
+import math
 import random
 import re
+import subprocess
+import sys
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -53,9 +59,28 @@ def test_pre_tokens_of_any_text():
         assert lengths.count(t) == len(model.encode(t)), t
 
 
-def test_summaries_keep_what_is_frequent():
-    from collections import Counter
+def test_counts_of_long_texts(monkeypatch):
+    path, rnd = public_tokenizers.path("piece_bpe_32k.model"), random.Random(4)
+    lengths = token_count.Lengths(token_count.load(path), {})
+    drawn = ["".join(rnd.choice("aab  \n\n▁é.,\t漢 ") for _ in range(200)) for _ in range(200)]
+    whole = [lengths.count(t) for t in drawn]
+    monkeypatch.setattr(token_count, "PART", 9)
+    assert [lengths.count(t) for t in drawn] == whole
+
+
+def test_table_comes_from_a_bounded_sample(spark, monkeypatch):
+    assert [i for i in range(80) if token_count.sampled(i)] == [*range(32), *range(32, 64, 2), *range(64, 80, 4)]
+    assert sum(map(token_count.sampled, range(100_000))) < 250
+    monkeypatch.setattr(token_count, "SAMPLE", 50)
+    monkeypatch.setattr(token_count, "TABLE", 7)
+    docs = spark.createDataFrame([(f"the word {i}",) for i in range(1000)], "text string").repartition(3)
+    words = token_count.frequent(docs)
+    assert len(words) == 7 and {"the", "word"} <= set(words)
+    assert "Exchange" not in token_count.token_counts(docs.selectExpr("1L AS doc_id", "text").coalesce(1), public_tokenizers.path("piece_bpe_32k.model"))._jdf.queryExecution().toString().split("Coalesce")[0]
+    assert token_count.frequent(docs.limit(0)) == []
 
+
+def test_summaries_keep_what_is_frequent():
     counts = Counter({f"w{i}": 1 + (i < 3) * 100 for i in range(50)})
     token_count.shrink(counts, 10)
     assert len(counts) <= 10 and {"w0", "w1", "w2"} <= set(counts)
@@ -285,7 +310,7 @@ def test_quality_tells_wording_of_one_shape(spark):
     labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(400)], "doc_id long, quality int")
     held = quality.quality(docs, labels).where("held_out").collect()
     assert len(held) > 50 and all(r.predicted == 1 - r.doc_id % 2 for r in held)
-    once, twice = linear.shape_and_word_ngrams()(texts_, None), linear.shape_and_word_ngrams()([t.upper().lower() for t in texts_], None)
+    once, twice = linear.shape_and_word_ngrams()(texts_), linear.shape_and_word_ngrams()([t.upper().lower() for t in texts_])
     assert all((a == b).all() for a, b in zip(once, twice)) and once[0].min() == 0 and once[0].max() == 399
 
 
@@ -309,11 +334,120 @@ def test_keep_good_keeps_columns(spark):
 
 
 def test_features_do_not_cross_texts():
-    for f in (linear.char_ngrams(), linear.shape_ngrams()):
+    for f in (linear.char_ngrams(), linear.shape_ngrams(), linear.shape_and_word_ngrams()):
         a, b = "one two three four five", "six seven EIGHT!! nine"
-        of, bucket = f([a, "", b], None)
+        of, bucket = f([a, "", b])
         for i, t in enumerate((a, "", b)):
-            assert sorted(bucket[of == i]) == sorted(f([t], None)[1])
+            assert sorted(bucket[of == i]) == sorted(f([t])[1])
+
+
+def plain_hash(values, salt=0):
+    h = 0
+    for v in values:
+        h = (h * 0x01000193 + v) & 0xFFFFFFFF
+    return h
+
+
+def plain_bucket(h, bits):
+    return ((h * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - bits)
+
+
+def plain_char_ngrams(text, sizes, bits):
+    raw = f" {' '.join(text.lower().split())} ".encode() if text.split() else b" "
+    return {plain_bucket(plain_hash([x + 1 for x in raw[i : i + n]]) + n & 0xFFFFFFFF, bits) for n in sizes for i in range(len(raw) - n + 1)}
+
+
+def plain_shape_ngrams(text, bits):
+    """Word shapes, words and word pairs, as the docstring of shape_ngrams states them."""
+    ws = text.encode().split()
+    out = {plain_bucket((int(math.log2(len(ws) + 1)) + 0x5EED) * 0x01000193 & 0xFFFFFFFF, bits)}
+    classes = lambda w: [int(linear._CLASS[b]) for b in w]
+    whole = lambda w: sum((b + 1) * 0x01000193 ** (i % 64 + 1) for i, b in enumerate(w)) & 0xFFFFFFFF
+    shapes = []
+    for i, w in enumerate(ws):
+        any_ = 0
+        for c in classes(w):
+            any_ |= c
+        length = sum(len(w) >= x for x in (2, 4, 7, 12, 25))
+        shapes.append(any_ | classes(w)[0] << 8 | length << 16 | (w in ws[max(0, i - 2) : i]) << 20)
+    mixed = lambda values, salt: plain_hash([v * 0x9E3779B1 & 0xFFFFFFFF ^ (j + 1 + salt) for j, v in enumerate(values)])
+    for n in (1, 2, 3):
+        grams = Counter(mixed(shapes[i : i + n], 0) for i in range(len(shapes) - n + 1))
+        for g, k in grams.items():
+            share = max(-12, math.floor(math.log2(k / (len(shapes) - n + 1))))
+            out.add(plain_bucket((g * 0x01000193 + (share + 13) * 0x85EBCA6B) & 0xFFFFFFFF, bits))
+    low = [whole(re.sub(b"[A-Z]", lambda m: m[0].lower(), w)) for w in ws]
+    return out | {plain_bucket(mixed(low[i : i + n], 64), bits) for n in (1, 2) for i in range(len(low) - n + 1)}
+
+
+def test_features_against_plain_code(monkeypatch):
+    rnd = random.Random(5)
+    alphabet = "aAbÉß  \n\t.!|7漢ΟΣ"
+    drawn = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(60))) for _ in range(80)] + ["", " ", "x" * 700, "word " * 90, ("y" * 333 + " ") * 5 + "z" * 900]
+    for block in (1 << 18, 64, 192):  # the last two make long texts of most
+        monkeypatch.setattr(linear, "BLOCK", block)
+        for f, plain in ((linear.char_ngrams((3, 5), 20), lambda t: plain_char_ngrams(t, (3, 5), 20)), (linear.shape_and_word_ngrams(20), lambda t: plain_shape_ngrams(t, 20))):
+            of, bucket = f(drawn)
+            assert (np.diff(of) >= 0).all()
+            for i, t in enumerate(drawn):
+                mine = bucket[of == i].tolist()
+                assert len(mine) == len(set(mine)) and set(mine) == plain(t), (block, t)
+
+
+def test_log_count_ratio():
+    pos, neg, n1, n0, alpha = [0, 3, 0, 10], [0, 0, 5, 40], 10, 40, 2.0
+    share = n1 / (n1 + n0)
+    want = [math.log((p + alpha * share) / (n1 + 2 * alpha * share)) - math.log((n + alpha * (1 - share)) / (n0 + 2 * alpha * (1 - share))) for p, n in zip(pos, neg)]
+    got = linear.log_count_ratio(np.array(pos), np.array(neg), n1, n0, alpha)
+    assert np.allclose(got, want) and abs(got[0]) < 1e-12 and got[1] > 0 > got[2]
+
+
+@pytest.mark.parametrize("squared", [False, True])
+def test_fit_reaches_the_least_of_its_objective(squared):
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.choice(12, rng.integers(1, 7), replace=False)).astype(np.int32) for _ in range(60)]
+    y = np.array([int(1 in r or rng.random() < 0.3) for r in rows])
+    ratio, cost = rng.normal(size=12), 0.3
+    x = np.zeros((60, 13))
+    for i, r in enumerate(rows):
+        x[i, r], x[i, 12] = ratio[r], 1
+    sign, c = 2.0 * y - 1, np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) * len(y) * cost
+
+    def objective(v):
+        loss = np.maximum(0, 1 - sign * (x @ v))
+        return v @ v / 2 + (c * (loss**2 if squared else loss)).sum()
+
+    w, b = linear.fit_hinge(rows, y, ratio, cost, squared, 1e-4)
+    got = objective(np.append(np.divide(w, ratio), b))
+    v, best = np.zeros(13), objective(np.zeros(13))
+    for t in range(20000):  # plain subgradient descent
+        loss = np.maximum(0, 1 - sign * (x @ v))
+        v -= (v - ((c * sign * (2 * loss if squared else loss > 0)) @ x)) / (t + 50)
+        best = min(best, objective(v))
+    assert got <= best * 1.001
+
+
+def test_bounds_of_the_sample(spark):
+    docs = table(spark, [(7, f"bad {i} text") for i in range(300)] + [(9, "good text")] * 200 + [(11, None), (12, "other"), (13, "x")])
+    labels = spark.createDataFrame([(i, q) for i, q in ((7, 0), (9, 1), (11, 1), (12, 0), (13, 1))] * 2, "doc_id long, quality int")
+    spec = dataclasses.replace(quality.SPEC, per_class=20, held_out=-1)
+    sample = [tuple(r) for r in classify._sample(docs, labels, spec).select("label", "text").collect()]
+    assert len(set(sample)) == len(sample) <= 40 and sum(1 for c, _ in sample if c == 0) == 20 and sorted(t for c, t in sample if c == 1) == ["", "good text", "x"]
+    for pairs in (1, 40, 1 << 20):
+        got = quality.quality(docs, labels, dataclasses.replace(spec, pairs=pairs))
+        assert got.count() == 503 and all(0 <= r.score <= 1 for r in got.select("score").distinct().collect())
+
+
+def peak_of(code):
+    """Megabytes of memory that some code takes beyond what its modules take, in a process of its own."""
+    head = "import resource, random\nimport numpy as np\nfrom loomline.llm import classify, linear, quality, simhash, token_count, toxicity\nrnd = random.Random(1)\nwords = [''.join(rnd.choice('abcdefghijklmnop') for _ in range(rnd.randrange(1, 10))) for _ in range(50000)]\nlong = ' '.join(rnd.choices(words, k=6_500_000))\nassert 35e6 < len(long) < 45e6\nbefore = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+    out = subprocess.run([sys.executable, "-c", f"{head}{code}\nprint((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)"], capture_output=True, text=True, check=True)
+    return int(out.stdout.split()[-1])
+
+
+@pytest.mark.parametrize("code", ["toxicity.SPEC.features()([long])", "quality.SPEC.features()([long])", "simhash.fingerprint(long)"])
+def test_memory_of_one_very_long_text(code):
+    assert peak_of(code) < 500
 
 
 def test_clashing_name():
