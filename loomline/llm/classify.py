@@ -42,7 +42,7 @@ class Spec:
     #: Most labelled rows of each class that are learnt from.
     per_class: int = 4000
     #: Most buckets that the rows learnt from set in all: 4 bytes each on the driver.
-    pairs: int = 1 << 26
+    pairs: int = 1 << 25
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -68,6 +68,8 @@ def _sample(documents: DataFrame, labels: DataFrame, spec: Spec) -> DataFrame:
     return rows
 
 
+#: Parts in which the driver takes the sampled rows' sets.
+_PARTS = 8
 _MARKED = "label int, key long, other long, n long, set binary"
 
 
@@ -97,12 +99,15 @@ def train(documents: DataFrame, labels: DataFrame, spec: Spec) -> linear.Model:
         marked_ = marked.where((F.col("key") < key) | (F.col("key") == key) & (F.col("other") < other))
     else:
         marked_ = marked
-    got = marked_.select("key", "other", "label", "set").toArrow()
-    x = sorted(zip(*(got.column(k).to_pylist() for k in ("key", "other", "label", "set"))))  # no order of tasks shows in the model
+    x = []
+    for part in range(_PARTS):  # so that neither side holds both forms of all sets
+        got = marked_.where(F.pmod("key", F.lit(_PARTS)) == part).select("key", "other", "label", "set").toArrow()
+        for key, other, label, packed in zip(*(got.column(k) for k in got.column_names)):
+            x.append((key.as_py(), other.as_py(), label.as_py(), np.cumsum(np.frombuffer(zlib.decompress(packed.as_buffer()), "<i4"), dtype=np.int32)))
+    x.sort(key=lambda r: r[:3])  # no order of tasks shows in the model
     drop_table(marked)
     order = np.random.default_rng(11).permutation(len(x))
-    sets = [np.cumsum(np.frombuffer(zlib.decompress(x[i][3]), "<i4"), dtype=np.int32) for i in order]
-    return linear.fit(sets, np.array([x[i][2] for i in order], np.int64), 1 << spec.bits, spec.cost, spec.squared, spec.smooth)
+    return linear.fit([x[i][3] for i in order], np.array([x[i][2] for i in order], np.int64), 1 << spec.bits, spec.cost, spec.squared, spec.smooth)
 
 
 def with_score(documents: DataFrame, model: linear.Model, spec: Spec, name: str = "score", keep_text: bool = True) -> DataFrame:

@@ -95,7 +95,7 @@ def _normal(text: str) -> Iterator[bytes]:
             yield f"{' '.join(words)} ".encode("utf-8", "replace")
 
 
-def char_ngrams(sizes: Sequence[int] = (4, 5, 6, 7), bits: int = 20) -> Featuriser:
+def char_ngrams(sizes: Sequence[int] = (5, 8), bits: int = 20) -> Featuriser:
     """Hashed n-grams over the UTF-8 bytes of the lower-cased text, runs of white space as one space.
 
     The text is padded with a space on both sides so that word starts and ends show.
