@@ -244,22 +244,45 @@ def test_mix(spark):
     assert mixing.in_mixed_order(docs, {"a": 3}).columns == docs.columns
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rnd = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rnd.normal(size=8)]) for i in range(600)] + [(700 + i, [0.5] * 8) for i in range(60)] + [(650, [0.5] * 8), (650, [0.1] * 8), (800, None), (801, [1.0, None]), (802, [float("nan")]), (803, [float("inf")]), (804, []), (805, [0.3])]
     frame = spark.createDataFrame([(i, v, "z") for i, v in rows], "vec_id long, embedding array<float>, rank string")
     got = [tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score").collect()]
     usable = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    queries = {}
-    for i, v in usable:
-        if i % 50 == 0:
-            queries[i] = max(v, queries.get(i, v))
     want = []
-    for q, v in queries.items():
-        scored = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in usable if j != q)[:5]
-        want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(scored)]
+    for n, (q, v) in enumerate(usable):
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), j) for m, (j, w) in enumerate(usable) if m != n)[:5]
+            want += [(q, place + 1, j, -s) for place, (s, j) in enumerate(scored)]
     assert sorted(got) == sorted(want)
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    monkeypatch.setattr(topk, "QUERY_BYTES", 300)  # a few queries a block
+    monkeypatch.setattr(topk, "PART_BYTES", 9000)
+    few = topk.top_k(frame, F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score")
+    assert sorted(tuple(r) for r in few.collect()) == sorted(want)
+    twice = topk.top_k(frame.where("vec_id = 650"), F.col("vec_id") % 50 == 0, k=2)
+    assert [r.vec_id for r in twice.collect()] == [650, 650]  # each asks, and the other row of its id is a candidate
+
+
+def test_top_k_beyond_64_bits(spark):
+    most, least = (1 << 63) - 1, -(1 << 63)
+    cut = lambda n: min(max(n, least), most)
+    rows = [(0, [1e30, 1.0]), (1, [1e17, -3.0]), (2, [-1e30]), (3, [0.0, 2.0, 5.0]), (4, [2.0**50, 1.0]), (5, [1.0] * 300)]
+    whole = [(i, [cut(int(np.floor(256 * x))) for x in v]) for i, v in rows]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") >= 0, k=3)
+    want = []
+    for q, v in whole:
+        scored = sorted((-cut(sum(a * b for a, b in zip(v, w))), j) for j, w in whole if j != q)[:3]
+        want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(scored)]
+    assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == sorted(want)
+
+
+def test_wide_vectors_do_not_pad_others():
+    import pyarrow as pa
+
+    rows = topk.rows_of(np.arange(5), pa.array([[1], [2, 3], [], list(range(1000)), [4, 5]], pa.list_(pa.int64())))
+    assert sum(r.x.size for r in rows) < 1010 and sorted(i for r in rows for i in r.ids.tolist()) == [0, 1, 2, 3, 4]
 
 
 def pages(spark, n=60):
@@ -275,10 +298,29 @@ def test_archive_round_trip(spark):
     for r in warc_fixity.archive(p, 16).collect():
         for at, n, headers, block in warc_fixity.parse(bytes(r.content)):
             assert int(headers["content-length"]) == len(block)
+    whole = warc_fixity.archive(p, 16).where("file = 0 AND volume = 0").first()
+    broken = warc_fixity.read_catalogue(spark.createDataFrame([(0, bytes(whole.content)[:-9])], "file long, content binary")).orderBy("seq").collect()
+    assert [r.error is None for r in broken] == [True] * 15 + [False] and sum(r.n_bytes for r in broken) == len(whole.content) - 9
+    assert warc_fixity.read_catalogue(spark.createDataFrame([(0, None), (1, b"")], "file long, content binary")).count() == 0
     with pytest.raises(ValueError):
         list(warc_fixity.parse(b"WARC/1.0\r\nContent-Length: 9\r\n\r\nshort"))
 
 
+def test_pages_without_an_id_spread_over_tasks(spark):
+    rows = [(None, None, f"<p>{i % 40}</p>") for i in range(500)] + [(5, "u", str(i)) for i in range(100)] + [(i, "u", "x") for i in range(20)]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = sorted(map(tuple, warc_fixity.catalogue(p, 16).select("file", "seq", "byte_offset", "n_bytes", "sha256").collect()))
+    assert [(f, s) for f, s, *_ in got] == [(-1, i) for i in range(500)] + [(0, i) for i in range(116)] + [(1, i) for i in range(4)]
+    for (f, _, at, n, _), (g, _, after, _, _) in zip(got, got[1:]):
+        assert after == (at + n if f == g else 0)
+    assert [x[4] for x in got[:500]] == sorted(x[4] for x in got[:500])
+    volumes = warc_fixity.archive(p, 16)
+    assert volumes.where("file = -1").count() == 32
+    assert sorted(map(tuple, warc_fixity.read_catalogue(volumes).select("file", "seq", "byte_offset", "n_bytes", "sha256").collect())) == got
+    parts = warc_fixity.catalogue(p, 16).where("file = -1")._jdf.queryExecution().toString()
+    assert "part" in parts and {r.status for r in warc_fixity.audit(warc_fixity.catalogue(p, 16), warc_fixity.catalogue(p.repartition(2), 16)).collect()} == {"ok"}
+
+
 def test_audit_finds_what_differs(spark):
     p = pages(spark, 300)
     a = warc_fixity.catalogue(p, 128)
