@@ -1,6 +1,6 @@
-"""Command line: analyse a folder, file or zip archive; list languages; write a settings file.
+"""Command line: analyse a folder, file, zip archive or git repository; list languages; write a settings file; shell completions.
 
-python -m loomline [PATH] [options] | langs [--width N] [--catalog FILE] | init [FILE] [--force]
+python -m loomline [PATH] [options] | langs [--width N] [--catalog FILE] | init [FILE] [--force] | completions bash|zsh|fish
 """
 
 from __future__ import annotations
@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,10 @@ from . import config as C
 from . import report
 from .plans.analysis import file_stats
 from .sources import catalog
-from .sources.files import read_tree, read_zip
+from .sources.files import read_git, read_tree, read_zip
+
+
+COMMANDS = ("langs", "init", "completions")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -42,22 +46,39 @@ def parser() -> argparse.ArgumentParser:
 
 
 def files_of(spark: SparkSession, config: C.Config) -> DataFrame:
+    if config.path.startswith(("http://", "https://")):
+        return read_git(spark, config.path, config.walk)
     if not os.path.exists(config.path):
         raise FileNotFoundError(config.path)
     return read_zip(spark, config.path, config.walk) if config.path.endswith(".zip") else read_tree(spark, config.path, config.walk)
 
 
-def analyse(spark: SparkSession, config: C.Config) -> tuple[str, int]:
-    """The rendered report and the number of entries that could not be read."""
+def analyse(spark: SparkSession, config: C.Config, write: Callable[[str], object]) -> int:
+    """Writes the report part by part; the number of entries that could not be read."""
     files = files_of(spark, config)
     good = files.where(F.col("error").isNull()).drop("error")
     stats = file_stats(good, catalog.load(config.catalog), config.languages, config.exclude_languages).persist()
     try:
-        return report.render(stats, config.path, config.view, config.output), files.where(F.col("error").isNotNull()).count()
+        for part in report.parts(stats, config.path, config.view, config.output):
+            write(part)
+        return files.where(F.col("error").isNotNull()).count()
     finally:
         stats.unpersist()
 
 
+def completions(shell: str) -> str:
+    """A completion script: the flags and commands of this parser."""
+    flags = sorted(f for a in parser()._actions for f in a.option_strings)
+    words = " ".join([*COMMANDS, *flags])
+    if shell == "bash":
+        return f"complete -o default -W '{words}' loomline\n"
+    if shell == "zsh":
+        return f"#compdef loomline\n_arguments '*: :({words})' '*:file:_files'\n"
+    if shell == "fish":
+        return "".join([f"complete -c loomline -n __fish_use_subcommand -a {c}\n" for c in COMMANDS] + [f"complete -c loomline -{'l' if f.startswith('--') else 's'} {f.lstrip('-')}\n" for f in flags])
+    raise ValueError(f"no completions for {shell}")
+
+
 def main(argv: list[str] | None = None) -> int:
     argv = sys.argv[1:] if argv is None else argv
     if argv[:1] == ["langs"]:
@@ -74,10 +95,14 @@ def main(argv: list[str] | None = None) -> int:
         a = p.parse_args(argv[1:])
         C.init(a.file, a.force)
         return 0
+    if argv[:1] == ["completions"]:
+        p = argparse.ArgumentParser(prog="loomline completions")
+        p.add_argument("shell", choices=["bash", "zsh", "fish"])
+        sys.stdout.write(completions(p.parse_args(argv[1:]).shell))
+        return 0
     given = vars(parser().parse_args(argv))
     named = given.pop("config")
     config = C.merge(C.from_file(named) if named else C.discover(), given)
     spark = SparkSession.builder.appName("loomline").getOrCreate()
-    text, skipped = analyse(spark, config)
-    sys.stdout.write(text)
+    skipped = analyse(spark, config, sys.stdout.write)
     return 1 if config.fail_on_error and skipped else 0

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.content import directory_key
 from ..functions.formats import SizeUnits, average, percentage, size
+from ..storage import stage_table
 
 MEASURES = ("code_lines", "comment_lines", "blank_lines", "shebang_lines")
 LIMIT = (1 << 63) - 1
@@ -32,8 +33,12 @@ class SortKey(StrEnum):
 _COLUMN = {"lines": "lines", "code": "code_lines", "comments": "comment_lines", "blanks": "blank_lines", "files": "files", "size": "size"}
 
 
+def saturating_sum_of(column: Column) -> Column:
+    return F.least(F.coalesce(F.sum(column.cast("decimal(38,0)")), F.lit(0)), F.lit(LIMIT).cast("decimal(38,0)")).cast("long")
+
+
 def saturating_sum(column: str) -> Column:
-    return F.least(F.coalesce(F.sum(F.col(column).cast("decimal(38,0)")), F.lit(0)), F.lit(LIMIT).cast("decimal(38,0)")).cast("long")
+    return saturating_sum_of(F.col(column))
 
 
 def measures() -> list[Column]:
@@ -97,6 +102,19 @@ def top(groups: DataFrame, key: SortKey | str = SortKey.LINES, descending: bool
     return out if min_lines is None else out.where(F.col("lines") >= min_lines)
 
 
+def with_place(groups: DataFrame, order_by: list[Column], name: str = "place") -> DataFrame:
+    """groups with their place from 1 in the order: a sort by ranges over all tasks, then sums of the sizes of its partitions.
+
+    The sorted rows are written, so that a partition's rows and its size are those of one sort.
+    """
+    part, row = F.spark_partition_id().alias("sorted_part"), F.monotonically_increasing_id().alias("sorted_row")
+    done = stage_table(groups.orderBy(*order_by).select("*", part, row), "sorted")
+    sizes = done.groupBy(F.col("sorted_part").alias("p")).count()  # one row a partition of the sort
+    before = sizes.select("p", (F.sum("count").over(W.orderBy("p")) - F.col("count")).alias("before"))
+    inside = F.col("sorted_row") - F.shiftleft(F.col("sorted_part").cast("long"), 33)  # the id holds the partition above 33 bits
+    return done.join(F.broadcast(before), F.col("sorted_part") == F.col("p")).select(*groups.columns, (F.col("before") + inside + 1).cast("int").alias(name))
+
+
 def hidden(groups: DataFrame, shown: DataFrame) -> DataFrame:
     """One row: how many groups are not shown."""
     return groups.agg(F.count("*").alias("a")).crossJoin(F.broadcast(shown.agg(F.count("*").alias("b")))).select((F.col("a") - F.col("b")).alias("hidden"))

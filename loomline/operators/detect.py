@@ -1,7 +1,7 @@
 """Language detection: candidates by file name, shebangs, and scores over a content sample.
 
-Name patterns are split by kind so that the glob join becomes broadcast equi-joins; the catalog's size is bounded (a
-few hundred languages), so its tables are broadcast. Content is looked at only where the name leaves several languages.
+Name patterns are split by kind so that the glob join becomes look-ups in literal maps; the catalog's size is bounded (a
+few hundred languages). Content is looked at only where the name leaves several languages.
 """
 
 from __future__ import annotations
@@ -20,16 +20,9 @@ _WORD = re.compile(r"[A-Za-z0-9_]+")
 
 
 def candidates(files: DataFrame, languages: list[Language], key: str = "rel_path", name: str = "name") -> DataFrame:
-    """key, lang_idx, lang: each language that has a pattern for the file's name, once; case does not count."""
-    names, endings, globs = split_patterns(languages)
-    low = F.lower(F.col(name))
-    dots = F.split(low, r"\.")
-    tails = F.transform(F.sequence(F.lit(2), F.size(dots)), lambda i: F.concat(F.lit("."), F.array_join(F.slice(dots, i, F.size(dots)), ".")))
-    keys = [F.array(F.concat(F.lit("="), low)), F.when(F.size(dots) > 1, tails).otherwise(F.array().cast("array<string>"))]
-    keys += [F.when(low.rlike(p), F.array(F.lit(f"?{i}"))).otherwise(F.array().cast("array<string>")) for p, i in globs]
-    patterns = [(f"={p}", i) for p, i in names] + endings + [(f"?{i}", i) for _, i in globs]
-    known = files.sparkSession.createDataFrame([(p, i, languages[i].name) for p, i in patterns], "p string, lang_idx int, lang string")
-    return files.select(key, F.explode(F.concat(*keys)).alias("p")).join(F.broadcast(known), "p").select(key, "lang_idx", "lang").distinct()
+    """key, lang_idx, lang: each language that has a pattern for the file's name, once; case does not count. No shuffle."""
+    each = candidate_lists(files, languages, name).select(key, F.explode("found").alias("lang_idx"))
+    return each.withColumn("lang", F.get(F.array(*(F.lit(x.name) for x in languages)), F.col("lang_idx")))
 
 
 def candidate_lists(files: DataFrame, languages: list[Language], name: str = "name") -> DataFrame:

@@ -1,14 +1,18 @@
 """Reports over a table of file counts: what is shown, and seven renderings of it.
 
-Grouping, sorting and cutting run in Spark; the driver gets the groups that are shown (and, if asked for, their files).
+Grouping, sorting and cutting run in Spark; the driver gets the groups that are shown, one row a language or top-level
+directory. The files of a verbose report come sorted from Spark, partition after partition, and are written as they come, so
+that the driver never holds them all: `parts` gives the report piece by piece, `render` as one text.
 """
 
 from __future__ import annotations
 
 import html
 import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from enum import IntEnum
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,19 +94,48 @@ def _groups(stats: DataFrame, view: View, root: str, directories: bool) -> tuple
         else:
             c = {"name": r["name"]} | {k: v for k, v in c.items() if not k.endswith("_percentage")} | {"avg_lines_per_file": r["avg_lines_per_file"]} | {k: v for k, v in c.items() if k.endswith("_percentage")}
             out.append(c)
-    wanted = view.verbosity == Verbosity.VERBOSE
-    if out and wanted:
+    if out and view.verbosity == Verbosity.VERBOSE:
         key = A.directory_key(F.col("rel_path"), root) if directories else F.col("lang")
         name = "path" if directories else "name"
-        files = stats.withColumn("group", key).where(F.col("group").isin([g[name] for g in out])).orderBy(*A.file_order(view.sort_by, view.descending))
-        by: dict[str, list[dict]] = {}
-        for r in files.toLocalIterator():
-            by.setdefault(r["group"], []).append(_file(r, view))
-        for g in out:
-            g["files_detail"] = by.get(g[name], [])
+        known = stats.sparkSession.createDataFrame([(g[name], i) for i, g in enumerate(out)], "group string, number int")
+        files = stats.withColumn("group", key).join(F.broadcast(known), "group").orderBy("number", *A.file_order(view.sort_by, view.descending))
+        come = _Come(files, view)
+        for i, g in enumerate(out):
+            g["files_detail"] = _Files(come, i)
     return out, gone
 
 
+class _Come:
+    """The files of all groups as they come from Spark, group after group."""
+
+    def __init__(self, files: DataFrame, view: View):
+        self.files, self.view, self.groups, self.at = files, view, None, -1
+
+    def of(self, number: int) -> Iterator[dict]:
+        if self.groups is None or number <= self.at:  # asked anew
+            self.groups = groupby(self.files.toLocalIterator(prefetchPartitions=True), key=lambda r: r["number"])
+        self.at = number
+        for i, rows in self.groups:
+            if i == number:  # every shown group has files
+                for r in rows:
+                    yield _file(r, self.view)
+                return
+
+
+class _Files(list):
+    """The files of one group; they are fetched when they are iterated over, as the JSON encoder does with lists."""
+
+    def __init__(self, come: _Come, number: int):
+        super().__init__()
+        self.come, self.number = come, number
+
+    def __iter__(self) -> Iterator[dict]:
+        return self.come.of(self.number)
+
+    def __len__(self) -> int:
+        return 1  # at least
+
+
 def build(stats: DataFrame, path: str, view: View = View()) -> dict:
     """The report as nested dictionaries, in the order of its JSON."""
     t = A.totals(stats).first()
@@ -129,7 +162,7 @@ def _kinds(r: dict, prefix: str = "") -> list[tuple]:
     return [(one, many, title, n, r[f"{k}_percentage"]) for k, one, many, title in LINE_KINDS if (n := r[f"{prefix}{k}_lines"])]
 
 
-def human(report: dict, view: View, stats: DataFrame | None = None) -> str:
+def human(report: dict, view: View, stats: DataFrame | None = None) -> Iterator[str]:
     s, num, pct = report["summary"], view.number, view.percent
     out = [
         f"Statistics for {report['analysis_path']}: {num(s['total_files'])} {plural(s['total_files'], 'file', 'files')}, {num(s['total_lines'])} total {plural(s['total_lines'], 'line', 'lines')}, {s['total_size_human']} total size."
@@ -142,10 +175,12 @@ def human(report: dict, view: View, stats: DataFrame | None = None) -> str:
         if stats is not None and s["total_files"]:
             groups = A.top(A.by_language(stats), view.sort_by, view.descending, view.top_languages, view.min_lines).collect()
             out.append("Languages: " + ", ".join(f"{num(g['files'])} {g['name']} {plural(g['files'], 'file', 'files')} ({pct(share(g['files'], s['total_files']))}%)" for g in groups) + ".")
-        return "\n".join(out) + "\n"
+        yield "\n".join(out) + "\n"
+        return
     groups = report.get("directories", []) if view.by_dir else report["languages"]
     if not groups:
-        return "\n".join([*out, NOTHING]) + "\n"
+        yield "\n".join([*out, NOTHING]) + "\n"
+        return
     i1, i2 = view.indent, view.indent * 2
     out.append("Directory breakdown:" if view.by_dir else "Language breakdown:")
     for g in groups:
@@ -159,15 +194,19 @@ def human(report: dict, view: View, stats: DataFrame | None = None) -> str:
         out += [f"{i2}{title}: {num(n)} lines ({pct(p)}%)." for _, _, title, n, p in _kinds(g)]
         if "files_detail" in g:
             out.append(f"{i1}File breakdown:")
-            out += [f"{i2}{f['path']}: {num(f['total_lines'])} lines, {f['size_human']} ({pct(share(f['total_lines'], s['total_lines']))}% of total lines)." for f in g["files_detail"]]
+            yield "\n".join(out) + "\n"
+            out = []
+            for f in g["files_detail"]:
+                yield f"{i2}{f['path']}: {num(f['total_lines'])} lines, {f['size_human']} ({pct(share(f['total_lines'], s['total_lines']))}% of total lines).\n"
     gone = report.get("dirs_hidden" if view.by_dir else "languages_hidden", 0)
     if gone:
         out.append(f"({gone} {plural(gone, 'directory', 'directories') if view.by_dir else plural(gone, 'language', 'languages')} not shown)")
-    return "\n".join(out) + "\n"
+    yield "".join(f"{line}\n" for line in out)
 
 
-def as_json(report: dict, view: View, compact: bool = False) -> str:
-    return json.dumps(report, ensure_ascii=False, **({"separators": (",", ":")} if compact else {"indent": view.indent})) + "\n"
+def as_json(report: dict, view: View, compact: bool = False) -> Iterator[str]:
+    yield from json.JSONEncoder(ensure_ascii=False, **({"separators": (",", ":")} if compact else {"indent": view.indent})).iterencode(report)
+    yield "\n"
 
 
 def _csv(field: str) -> str:
@@ -182,7 +221,7 @@ LANGUAGE_COLUMNS = ("files", "lines", "avg_lines_per_file", "code_lines", "comme
 FILE_COLUMNS = ("total_lines", "code_lines", "comment_lines", "blank_lines", "shebang_lines", "size", "size_human")
 
 
-def separated(report: dict, view: View, delimiter: str = ",") -> str:
+def separated(report: dict, view: View, delimiter: str = ",") -> Iterator[str]:
     escape, num, pct, s = (_csv if delimiter == "," else _tsv), view.number, view.percent, report["summary"]
 
     def row(*fields: str) -> str:
@@ -195,15 +234,16 @@ def separated(report: dict, view: View, delimiter: str = ",") -> str:
     for label, k, p in (("Total Files", "files", ""), ("Total Lines", "lines", ""), ("Code Lines", "code_lines", "code"), ("Comment Lines", "comment_lines", "comment"), ("Blank Lines", "blank_lines", "blank"), ("Shebang Lines", "shebang_lines", "shebang"), ("Total Size", "size", "")):
         summary += row(label, num(s[f"total_{k}"]), pct(s[f"{p}_percentage"]) if p else "", s["total_size_human"] if k == "size" else "")
     languages = row("language", *LANGUAGE_COLUMNS) + "".join(row(g["name"], *(cell(k, g[k]) for k in LANGUAGE_COLUMNS)) for g in report["languages"])
-    if view.verbosity == Verbosity.SUMMARY:
-        return summary
-    if view.verbosity == Verbosity.REGULAR:
-        return languages
-    out = f"{summary}\nLanguage breakdown:\n{languages}\n\n"
+    if view.verbosity < Verbosity.VERBOSE:
+        yield summary if view.verbosity == Verbosity.SUMMARY else languages
+        return
+    yield f"{summary}\nLanguage breakdown:\n{languages}\n\n"
     for g in report["languages"]:
         if "files_detail" in g:
-            out += f"{g['name']} files:\n" + row("file_path", *FILE_COLUMNS) + "".join(row(f["path"], *(cell(k, f[k]) for k in FILE_COLUMNS)) for f in g["files_detail"]) + "\n"
-    return out
+            yield f"{g['name']} files:\n" + row("file_path", *FILE_COLUMNS)
+            for f in g["files_detail"]:
+                yield row(f["path"], *(cell(k, f[k]) for k in FILE_COLUMNS))
+            yield "\n"
 
 
 HEADS = ("Language", "Files", "Lines", "Average Lines per File", "Code %", "Comment %", "Blank %", "Shebang %", "Size")
@@ -217,67 +257,75 @@ def _file_cells(f: dict, view: View) -> list[str]:
     return [f["path"], *(view.number(f[k]) for k in ("total_lines", *A.MEASURES)), f["size_human"]]
 
 
-def markdown(report: dict, view: View) -> str:
+def markdown(report: dict, view: View) -> Iterator[str]:
     s, kinds = report["summary"], _kinds(report["summary"], "total_")
 
-    def table(heads: tuple[str, ...], rows: list[list[str]]) -> str:
-        lines = ["| " + " | ".join(heads) + " |", "| --- |" + " ---: |" * (len(heads) - 1)]
-        return "\n".join([*lines, *("| " + " | ".join(c.replace("|", "\\|") for c in r) + " |" for r in rows)]) + "\n"
+    def row(cells: list[str]) -> str:
+        return "| " + " | ".join(c.replace("|", "\\|") for c in cells) + " |\n"
+
+    def head(heads: tuple[str, ...]) -> str:
+        return "| " + " | ".join(heads) + " |\n| --- |" + " ---: |" * (len(heads) - 1) + "\n"
 
-    out = f"# Statistics for `{report['analysis_path']}`\n\n## Summary\n\n- Files: {view.number(s['total_files'])}\n- Lines: {view.number(s['total_lines'])}\n- Size: {s['total_size_human']}\n"
+    yield f"# Statistics for `{report['analysis_path']}`\n\n## Summary\n\n- Files: {view.number(s['total_files'])}\n- Lines: {view.number(s['total_lines'])}\n- Size: {s['total_size_human']}\n"
     if kinds:
-        out += f"- Line types: {', '.join(f'{view.number(n)} {many}' for _, many, _, n, _ in kinds)}\n- Totals: {', '.join(f'{view.percent(p)}% {many}' for _, many, _, _, p in kinds)}\n"
+        yield f"- Line types: {', '.join(f'{view.number(n)} {many}' for _, many, _, n, _ in kinds)}\n- Totals: {', '.join(f'{view.percent(p)}% {many}' for _, many, _, _, p in kinds)}\n"
     if not report["languages"]:
-        return f"{out}\n_{NOTHING}_\n"
-    out += "\n## Languages\n\n" + table(HEADS, [_language_cells(g, view) for g in report["languages"]])
+        yield f"\n_{NOTHING}_\n"
+        return
+    yield "\n## Languages\n\n" + head(HEADS) + "".join(row(_language_cells(g, view)) for g in report["languages"])
     if view.verbosity == Verbosity.VERBOSE:
-        out += "\n## Files\n"
+        yield "\n## Files\n"
         for g in report["languages"]:
-            heads = ("File", "Total lines", "Code lines", "Comment lines", "Blank lines", "Shebang lines", "Size")
-            out += f"\n### {g['name'].replace('|', chr(92) + '|')}\n\n" + table(heads, [_file_cells(f, view) for f in g["files_detail"]])
-    return out
+            yield f"\n### {g['name'].replace('|', chr(92) + '|')}\n\n" + head(("File", "Total lines", "Code lines", "Comment lines", "Blank lines", "Shebang lines", "Size"))
+            for f in g["files_detail"]:
+                yield row(_file_cells(f, view))
 
 
-def as_html(report: dict, view: View) -> str:
+def as_html(report: dict, view: View) -> Iterator[str]:
     s, kinds = report["summary"], _kinds(report["summary"], "total_")
 
-    def table(heads: tuple[str, ...], rows: list[list[str]]) -> str:
-        body = "".join("<tr>" + "".join(f"<td>{html.escape(c)}</td>" for c in r) + "</tr>\n" for r in rows)
-        return "<table>\n<tr>" + "".join(f"<th>{h}</th>" for h in heads) + f"</tr>\n{body}</table>\n"
+    def row(cells: list[str]) -> str:
+        return "<tr>" + "".join(f"<td>{html.escape(c)}</td>" for c in cells) + "</tr>\n"
+
+    def head(heads: tuple[str, ...]) -> str:
+        return "<table>\n<tr>" + "".join(f"<th>{h}</th>" for h in heads) + "</tr>\n"
 
     title = f"Statistics for {html.escape(report['analysis_path'])}"
     items = [f"Files: {view.number(s['total_files'])}", f"Lines: {view.number(s['total_lines'])}", f"Size: {s['total_size_human']}"]
     if kinds:
         items.append("Totals: " + ", ".join(f"{view.percent(p)}% {many}" for _, many, _, _, p in kinds))
-    out = f'<!DOCTYPE html>\n<html lang="en">\n<head>\n<meta charset="utf-8" />\n<meta name="viewport" content="width=device-width, initial-scale=1" />\n<title>{title}</title>\n</head>\n<body>\n<h1>{title}</h1>\n'
-    out += "<details open>\n<summary><h2>Summary</h2></summary>\n<ul>\n" + "".join(f"<li>{i}</li>\n" for i in items) + "</ul>\n</details>\n"
-    body = table(HEADS, [_language_cells(g, view) for g in report["languages"]]) if report["languages"] else f"<p>{NOTHING}</p>\n"
-    out += f"<details>\n<summary><h2>Languages</h2></summary>\n{body}</details>\n"
+    yield f'<!DOCTYPE html>\n<html lang="en">\n<head>\n<meta charset="utf-8" />\n<meta name="viewport" content="width=device-width, initial-scale=1" />\n<title>{title}</title>\n</head>\n<body>\n<h1>{title}</h1>\n'
+    yield "<details open>\n<summary><h2>Summary</h2></summary>\n<ul>\n" + "".join(f"<li>{i}</li>\n" for i in items) + "</ul>\n</details>\n"
+    body = head(HEADS) + "".join(row(_language_cells(g, view)) for g in report["languages"]) + "</table>\n" if report["languages"] else f"<p>{NOTHING}</p>\n"
+    yield f"<details>\n<summary><h2>Languages</h2></summary>\n{body}</details>\n"
     if view.verbosity == Verbosity.VERBOSE:
-        out += "<details>\n<summary><h2>Files</h2></summary>\n"
+        yield "<details>\n<summary><h2>Files</h2></summary>\n"
         for g in report["languages"]:
-            out += f"<h3>{html.escape(g['name'])}</h3>\n" + table(("Path", "Lines", "Code", "Comments", "Blanks", "Shebangs", "Size"), [_file_cells(f, view) for f in g["files_detail"]])
-        out += "</details>\n"
-    return f"{out}</body>\n</html>\n"
+            yield f"<h3>{html.escape(g['name'])}</h3>\n" + head(("Path", "Lines", "Code", "Comments", "Blanks", "Shebangs", "Size"))
+            for f in g["files_detail"]:
+                yield row(_file_cells(f, view))
+            yield "</table>\n"
+        yield "</details>\n"
+    yield "</body>\n</html>\n"
 
 
 FORMATS = ("human", "json", "json-compact", "csv", "tsv", "markdown", "html")
 
 
+def parts(stats: DataFrame, path: str, view: View = View(), output: str = "human") -> Iterator[str]:
+    """One of FORMATS, piece by piece. Only human and the JSON forms show directories."""
+    renderers: dict[str, Callable[[dict], Iterator[str]]] = {
+        "human": lambda r: human(r, view, stats), "json": lambda r: as_json(r, view), "json-compact": lambda r: as_json(r, view, True),
+        "csv": lambda r: separated(r, view), "tsv": lambda r: separated(r, view, "\t"), "markdown": lambda r: markdown(r, view), "html": lambda r: as_html(r, view),
+    }
+    if output not in renderers:
+        raise ValueError(f"unknown output {output}")
+    return renderers[output](build(stats, path, view))
+
+
 def render(stats: DataFrame, path: str, view: View = View(), output: str = "human") -> str:
-    """One of FORMATS. Only human and the JSON forms show directories."""
-    report = build(stats, path, view)
-    if output == "human":
-        return human(report, view, stats)
-    if output in ("json", "json-compact"):
-        return as_json(report, view, output == "json-compact")
-    if output in ("csv", "tsv"):
-        return separated(report, view, "," if output == "csv" else "\t")
-    if output == "markdown":
-        return markdown(report, view)
-    if output == "html":
-        return as_html(report, view)
-    raise ValueError(f"unknown output {output}")
+    """The whole report as one text, for reports that fit in memory."""
+    return "".join(parts(stats, path, view, output))
 
 
 def language_listing(names: list[str], width: int = 80) -> str:
