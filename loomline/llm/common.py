@@ -1,12 +1,9 @@
-"""What the operators share: reading tables, the shared folder, tables written between steps."""
+"""What the operators share: reading tables, text columns in Arrow batches, names that do not clash."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..storage import drop_table, shared_dir, stage_table  # noqa: F401  for the operators
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -28,45 +27,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset on a local master, as in tests, a local one."""
-    set_already = spark.conf.get("spark.checkpoint.dir", None)
-    if set_already:
-        return set_already.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if own is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        own = Path(tempfile.mkdtemp(prefix="loomline-")).as_uri()
-        spark.sparkContext.setCheckpointDir(own)
-        own = spark.sparkContext.getCheckpointDir() or own
-    return own.rstrip("/")
-
-
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors.
-
-    Unlike checkpoint() the result carries no partitioning over, so that a join on it is an ordinary one that
-    adaptive execution can split where it is skewed. The folder goes when the JVM ends, or with `drop_table`.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_path = path  # for drop_table
-    return out
-
-
-def drop_table(df: DataFrame) -> None:
-    """Deletes what stage_table wrote; nothing may read it any more."""
-    spark, path = df.sparkSession, getattr(df, "_staged_path", None)
-    if path:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def chunks(rows: Iterable, size: int) -> Iterator[list]:
     """Lists of up to `size` items."""
     part: list = []

@@ -137,14 +137,12 @@ def char_ngrams(sizes: Sequence[int] = (5, 8), bits: int = 20) -> Featuriser:
     return run
 
 
-#: What a byte says of its word: 1 upper case, 2 lower case, 4 digit, 8 bar, 16 exclamation mark, 32 other symbol, 64 ordinary punctuation.
+#: What a byte says of its word: 1 upper case, 2 lower case, 4 digit, 32 other symbol, 64 ordinary punctuation.
 _CLASS = np.full(256, 32, np.uint8)
 _CLASS[ord("A") : ord("Z") + 1] = 1
 _CLASS[ord("a") : ord("z") + 1] = 2
 _CLASS[ord("0") : ord("9") + 1] = 4
-_CLASS[ord("|")] = 8
-_CLASS[ord("!")] = 16
-for _c in ".,;:'\"?-()":
+for _c in ".,;:'\"?!-()":
     _CLASS[ord(_c)] = 64
 _CLASS[0x80:0xA0] = 1
 _CLASS[0xA0:0xC0] = 2
