@@ -268,12 +268,12 @@ def d1_candidates(spark, sf_dir):
     return detect.candidates(corpus(spark, sf_dir), _languages()).select("rel_path", "lang")
 
 
-@query("SELECT page_id, CASE WHEN strlen(html) <= 4096 THEN strlen(html) ELSE 8192 END::INT AS n, CASE WHEN strlen(html) <= 4096 THEN 0 ELSE ((strlen(html) - 4096) // 2) - ((strlen(html) - 4096) // 2) % 2 END::INT AS middle FROM pages")
+@query("""WITH p AS (SELECT doc_id, encode(coalesce(text, '')) AS b, ((strlen(text) - 4096) // 2) - ((strlen(text) - 4096) // 2) % 2 AS m FROM documents)
+SELECT doc_id, md5(CASE WHEN octet_length(b) <= 4096 THEN b ELSE b[1:4096] || b[m + 1:m + 4096] END) AS md5 FROM p""")
 def a5_sample(spark, sf_dir):
-    pages = tables.read(spark, sf_dir, "pages").withColumn("c", F.col("html").cast("binary"))
-    size = F.octet_length("c")
-    middle = F.when(size <= C.SAMPLE, 0).otherwise(F.shiftleft(F.shiftright((size - C.SAMPLE).cast("int"), 2), 1))
-    return pages.select("page_id", F.octet_length(C.sample(F.col("c"))).alias("n"), middle.cast("int").alias("middle"))
+    """The sampled bytes of every text: the first 4096 and as many from the middle, at an even place."""
+    docs = tables.read(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.md5(C.sample(F.coalesce("text", F.lit("")).cast("binary"))).alias("md5"))
 
 
 @query("SELECT doc_id, (CASE WHEN text = '' THEN 0 WHEN right(text, 1) = chr(10) THEN len(string_split(text, chr(10))) - 1 ELSE len(string_split(text, chr(10))) END)::INT AS n FROM documents")
@@ -286,27 +286,35 @@ def c16_tokens(spark, sf_dir):
     return tables.read(spark, sf_dir, "documents").select("doc_id", F.size(C.words(F.col("text"))).alias("n"))
 
 
-# Contents made of numbers: k zero bytes, k control bytes or plain letters, by the event's number.
-_MADE = "repeat(chr(1), (event_id % 5)::INT) || repeat('a', (event_id % 13)::INT)"
+@query(r"""WITH m AS (
+  SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN chr(0) ELSE '' END || repeat(chr(1), ((doc_id % 5) * length(text) // 10)::INT) || coalesce(text, '') AS t FROM documents)
+SELECT doc_id, strlen(t) > 0 AND (contains(t, chr(0)) OR (length(t) - length(regexp_replace(t, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'))) * 100 // greatest(1, strlen(t)) > 20) AS is_binary FROM m""")
+def b10_binary(spark, sf_dir):
+    """Texts with control bytes before them, as many as up to two fifths of their characters, some with a zero byte."""
+    made = F.concat(F.expr("CASE WHEN doc_id % 11 = 0 THEN x'00' ELSE x'' END"), F.expr("CAST(repeat(chr(1), int((doc_id % 5) * length(text) div 10)) AS BINARY)"), F.coalesce("text", F.lit("")).cast("binary"))
+    return tables.read(spark, sf_dir, "documents").select("doc_id", C.is_binary(made, F.lit("UTF-8")).alias("is_binary"))
 
 
-@query(f"SELECT event_id, strlen({_MADE}) > 0 AND ((event_id % 5) * 100) // greatest(1, strlen({_MADE})) > 20 AS is_binary FROM events")
-def b10_binary(spark, sf_dir):
-    made = F.concat(F.expr("repeat(chr(1), int(event_id % 5))"), F.expr("repeat('a', int(event_id % 13))")).cast("binary")
-    return tables.read(spark, sf_dir, "events").select("event_id", C.is_binary(made, F.lit("UTF-8")).alias("is_binary"))
+# A text in one of six encodings, by its number: with and without a byte order mark.
+_ENCODED = """CASE doc_id % 6 WHEN 0 THEN concat(x'EFBBBF', CAST(t AS BINARY)) WHEN 1 THEN concat(x'FFFE', encode(t, 'UTF-16LE')) WHEN 2 THEN concat(x'FEFF', encode(t, 'UTF-16BE'))
+  WHEN 3 THEN encode(t, 'UTF-16LE') WHEN 4 THEN encode(t, 'UTF-16BE') ELSE CAST(t AS BINARY) END"""
 
 
-@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'UTF-8' WHEN 1 THEN 'UTF-16LE' WHEN 2 THEN 'UTF-16BE' WHEN 3 THEN 'UTF-16LE' WHEN 4 THEN 'UTF-16BE' ELSE 'UTF-8' END AS encoding, CASE event_id % 6 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE 0 END::INT AS bom_len FROM events")
+@query(r"""WITH d AS (SELECT doc_id, 2 * length(coalesce(text, '')) AS size, length(regexp_replace(coalesce(text, ''), '[^\x00-\xFF]', '', 'g')) AS zeros FROM documents),
+g AS (SELECT doc_id, CASE WHEN doc_id % 6 IN (1, 3) THEN 'UTF-16LE' WHEN doc_id % 6 IN (2, 4) THEN 'UTF-16BE' ELSE 'UTF-8' END AS e, doc_id % 6 IN (3, 4) AND NOT (size >= 4 AND zeros >= size // 4 AND zeros > 0) AS lost FROM d)
+SELECT doc_id, CASE WHEN lost THEN 'UTF-8' ELSE e END AS encoding, CASE doc_id % 6 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE 0 END::INT AS bom_len FROM g""")
 def c3_c4_encoding(spark, sf_dir):
-    made = F.expr("CASE event_id % 6 WHEN 0 THEN x'EFBBBF61' WHEN 1 THEN x'FFFE6100' WHEN 2 THEN x'FEFF0061' WHEN 3 THEN x'6100620063006400' WHEN 4 THEN x'0061006200630064' ELSE x'61626364' END")
-    return tables.read(spark, sf_dir, "events").select("event_id", C.encoding(made).alias("e")).select("event_id", "e.encoding", "e.bom_len")
+    """Every text in one of six encodings: the mark, or where its zero bytes lie, tells which."""
+    docs = tables.read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    return docs.select("doc_id", C.encoding(F.expr(_ENCODED)).alias("e")).select("doc_id", "e.encoding", "e.bom_len")
 
 
-@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'ab' WHEN 1 THEN 'é' ELSE 'x' END AS t FROM events")
+@query("SELECT doc_id, md5(coalesce(text, '')) AS md5 FROM documents WHERE doc_id % 6 NOT IN (3, 4) OR length(text) >= 2")
 def a7_c5_decode(spark, sf_dir):
-    made = F.expr("CASE event_id % 3 WHEN 0 THEN x'FFFE61006200' WHEN 1 THEN x'FEFF00E9' ELSE x'EFBBBF78' END")
-    enc = C.encoding(made)
-    return tables.read(spark, sf_dir, "events").select("event_id", C.text(made, enc["encoding"], enc["bom_len"]).alias("t"))
+    """Every text in one of six encodings is itself when it is decoded by the encoding that is found; UTF-16 of one character or none is not told by its bytes."""
+    docs = tables.read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")).where("doc_id % 6 NOT IN (3, 4) OR length(t) >= 2")
+    marked = docs.select("doc_id", F.expr(_ENCODED).alias("c")).select("doc_id", "c", C.encoding(F.col("c")).alias("e"))
+    return marked.select("doc_id", F.md5(C.text(F.col("c"), F.col("e.encoding"), F.col("e.bom_len")).cast("binary")).alias("md5"))
 
 
 @query(r"SELECT event_id, trim(event_type || chr(9) || chr(13), chr(32) || chr(9) || chr(10) || chr(13)) AS t, regexp_matches(repeat(chr(9), (event_id % 3)::INT) || CASE WHEN event_id % 2 = 0 THEN 'a' ELSE '' END, '[^ \t\n\r]') AS solid FROM events")
@@ -452,15 +460,23 @@ def b5_max_depth(spark, sf_dir):
     return files.where(C.depth(F.col("rel_path")) <= 2).select("rel_path")
 
 
-_NAMES = "CASE event_id % 5 WHEN 0 THEN 'a/.git/x' WHEN 1 THEN '.env' WHEN 2 THEN 'b/Cargo.lock' WHEN 3 THEN 'b/app.min.js' ELSE 'src/main.rs' END"
+# Names of generated files, one for each pattern, and names like them that are not.
+_GENERATED = ("Cargo.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb", "bun.lock", "deno.lock", "go.sum", "Gemfile.lock", "composer.lock", "poetry.lock", "Pipfile.lock", "uv.lock", "mix.lock", "pubspec.lock", "flake.lock", "Podfile.lock", "packages.lock.json", "shrinkwrap.json", "cabal.project.freeze", "cpanfile.snapshot", "gradle.lockfile", ".terraform.lock.hcl", "app.min.js", "app.min.mjs", "app.min.css")
+_NOT_GENERATED = ("cargo.lock", "Cargo.lock.txt", "xgo.sum", "app.js", "min.js", "app.min.ts", ".lock", "main.rs")
+_NAMES = f"element_at(array({', '.join(repr(n) for n in _GENERATED + _NOT_GENERATED)}), int(doc_id % {len(_GENERATED + _NOT_GENERATED)}) + 1)"
+_SQL_NAMES = f"[{', '.join(repr(n) for n in _GENERATED + _NOT_GENERATED)}][doc_id % {len(_GENERATED + _NOT_GENERATED)} + 1]"
 
 
-@query(f"SELECT event_id, regexp_matches({_NAMES}, '(^|/)[.]') AS hidden, event_id % 5 IN (2, 3) AS generated, event_id % 5 = 4 AS excluded FROM events")
+@query(f"""WITH n AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN source || '/' WHEN 2 THEN source || '/.' || lang || '/' ELSE 'src/' || lang || '/' END || {_SQL_NAMES} AS path, doc_id % {len(_GENERATED + _NOT_GENERATED)} < {len(_GENERATED)} AS generated FROM documents)
+SELECT doc_id, path, regexp_matches(path, '(^|/)[.]') AS hidden, generated, starts_with(path, 'src/') AS excluded FROM n""")
 def b3_b6_b7_names(spark, sf_dir):
+    """Paths of every kind of generated file, and some like them, in four kinds of folder."""
     from .sources.ignore import GENERATED
 
-    path = F.expr(_NAMES)
-    return tables.read(spark, sf_dir, "events").select("event_id", C.is_hidden(path).alias("hidden"), C.matches_glob(path, list(GENERATED)).alias("generated"), C.matches_glob(path, ["!src/**"]).alias("excluded"))
+    folder = F.expr("CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN concat(source, '/') WHEN 2 THEN concat(source, '/.', lang, '/') ELSE concat('src/', lang, '/') END")
+    named = tables.read(spark, sf_dir, "documents").select("doc_id", F.concat(folder, F.expr(_NAMES)).alias("path"))
+    path = F.col("path")
+    return named.select("doc_id", "path", C.is_hidden(path).alias("hidden"), C.matches_glob(path, list(GENERATED)).alias("generated"), C.matches_glob(path, ["!src/**"]).alias("excluded"))
 
 
 @query("SELECT user_id % 50 AS g, least(sum(4611686018427387904::HUGEINT // (1 + event_id % 50) + event_id), 9223372036854775807::HUGEINT)::BIGINT AS total FROM events GROUP BY 1")
@@ -476,4 +492,4 @@ def c1_conversation_files(spark, sf_dir):
     return tables.chats(spark, sf_dir).select(F.col("rel_path").cast("long").alias("conv_id"), "size")
 
 
-from . import report_queries, source_queries  # noqa: E402, F401  register theirs
+from . import report_queries, settings_queries, source_queries  # noqa: E402, F401  register theirs

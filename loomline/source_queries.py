@@ -8,10 +8,8 @@ could have, a link to a file, and a link to nothing.
 from __future__ import annotations
 
 import os
-import uuid
 import zipfile
 from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +18,6 @@ from pyspark.sql import functions as F
 from .plans.analysis import file_stats
 from .queries import query
 from .sources import catalog, files, tables
-from .storage import shared_dir
 
 TARGET = b"x = 1\n# two\n"
 _PATHS = ("s{k}.py", "s{k}", "s{k}.gen.py", ".s{k}.py", "s{k}.rs", "s{k}.m", "l{k}.py", "dead{k}.py")
@@ -29,10 +26,7 @@ _SCRIPTS = {0: "#!/usr/bin/env python3\n# {name}\n\nx = 1\n", 1: "#!/bin/bash\n#
 
 def _folder(spark: SparkSession) -> str:
     """A new folder in the shared one, which must be mounted, as source trees are; it goes when the JVM ends."""
-    place = urlparse(shared_dir(spark))
-    if place.scheme not in ("", "file"):
-        raise ValueError("source trees need a mounted folder: set spark.checkpoint.dir to one")
-    path = f"{unquote(place.path)}/tree-{uuid.uuid4().hex}"
+    path = files.mounted(spark, "tree")
     os.makedirs(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(f"file:{path}")
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)

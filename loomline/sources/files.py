@@ -8,12 +8,15 @@ binaryFile is not used: it drops empty files and names that begin with an unders
 
 from __future__ import annotations
 
+import contextlib
 import os
+import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -217,13 +220,21 @@ def read_tree(spark: SparkSession, root: str | Path, options: Walk = Walk(), glo
     return files.select("path", "error").repartition(n, "path").mapInArrow(run, SCHEMA)
 
 
+def mounted(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which must be one that is mounted, as source trees are."""
+    place = urlparse(shared_dir(spark))
+    if place.scheme not in ("", "file"):
+        raise ValueError("source trees need a mounted folder: set spark.checkpoint.dir to one")
+    return f"{unquote(place.path)}/{name}-{uuid.uuid4().hex}"
+
+
 class ZipError(ValueError):
     pass
 
 
 def read_zip(spark: SparkSession, path: str | Path, options: Walk = Walk()) -> DataFrame:
     """An archive's files as rows, by the same rules; unpacked bytes are counted as they come, not as headers claim."""
-    import tempfile
+    import shutil
 
     if os.path.getsize(path) > ZIP_LIMIT:
         raise ZipError("the archive is too large")
@@ -231,8 +242,10 @@ def read_zip(spark: SparkSession, path: str | Path, options: Walk = Walk()) -> D
         archive = zipfile.ZipFile(path)
     except zipfile.BadZipFile as e:
         raise ZipError(str(e)) from e
-    with archive, tempfile.TemporaryDirectory() as top:
-        total = 0
+    top, total = mounted(spark, "unzipped"), 0
+    os.makedirs(top)
+    with archive, contextlib.ExitStack() as after:
+        after.callback(shutil.rmtree, top, True)
         for entry in archive.infolist():
             target = os.path.normpath(os.path.join(top, entry.filename))
             if os.path.isabs(entry.filename) or not target.startswith(top + os.sep) and target != top:
@@ -276,10 +289,4 @@ def clone(url: str, folder: str | Path, timeout: float = 30) -> Path:
 
 def read_git(spark: SparkSession, url: str, options: Walk = Walk()) -> DataFrame:
     """The files of a repository's newest commit, cloned into the shared folder, which must be a mounted one on a cluster."""
-    import uuid
-    from urllib.parse import unquote, urlparse
-
-    place = urlparse(shared_dir(spark))
-    if place.scheme not in ("", "file"):
-        raise GitError("a repository is cloned into a mounted folder: set spark.checkpoint.dir to one")
-    return read_tree(spark, clone(url, f"{unquote(place.path)}/clone-{uuid.uuid4().hex}"), options)
+    return read_tree(spark, clone(url, mounted(spark, "clone")), options)

@@ -158,6 +158,103 @@ def test_ignore_rules():
     assert r.decide("c", True)
 
 
+def test_executors_list_what_the_driver_lists(spark, tree):
+    os.symlink(tree / "src", tree / "src" / "loop")
+    os.symlink(tree / "nothing", tree / "dead.py")
+    (tree / "src" / "empty").mkdir()
+    for kw in ({}, {"respect_ignore": False}, {"hidden": True, "symlinks": True}, {"max_depth": 1}, {"max_depth": 2, "generated": True}, {"exclude": ("src",)}):
+        want = [(rel, size, bool(error)) for _, rel, size, error in files.listing(tree, files.Walk(**kw))]
+        got = sorted((bytes(r.path).decode(), r.size, r.error is not None) for r in files.walk(spark, tree, files.Walk(**kw)).collect())
+        assert got == want
+    errors = {r.rel_path for r in files.read_tree(spark, tree, files.Walk(symlinks=True)).where("error IS NOT NULL").collect()}
+    assert errors == {"src/loop", "dead.py"}
+    assert [tuple(r) for r in files.read_tree(spark, tree / "a.py").select("rel_path", "name", "size").collect()] == [("", "a.py", 10)]
+    with pytest.raises(FileNotFoundError):
+        files.read_tree(spark, tree / "none")
+    bad = os.fsencode(tree) + b"/bad\xff.py"
+    open(bad, "w").close()
+    assert "file.py" in {r.name for r in files.read_tree(spark, tree).collect()}  # a name that is no UTF-8 keeps its ending
+
+
+def test_ignore_files_of_all_kinds(tmp_path):
+    """Nearest of one kind first; .ignore before .gitignore before .git/info/exclude before the global file; parents count up to a repository's root."""
+    def write(path, text):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+
+    for name in ("a.log", "b.log", "c.log", "d.log", "e.log", "f.py"):
+        write(f"top/repo/sub/{name}", "x")
+    write("top/.gitignore", "f.py\nb.log\n")
+    write("top/.ignore", "c.log\n")
+    write("top/repo/sub/.gitignore", "a.log\n!b.log\n")
+    write("top/repo/sub/.ignore", "!a.log\n")
+    write("top/global", "d.log\ne.log\n")
+    walk = lambda **kw: names_of(tmp_path / "top/repo/sub", **kw)
+
+    def names_of(root, globally=None, **kw):
+        return [x[1] for x in files.listing(root, files.Walk(**kw), globally)]
+
+    assert walk() == ["a.log", "b.log", "d.log", "e.log"]
+    assert walk(globally=str(tmp_path / "top/global")) == ["a.log", "b.log"]
+    write("top/repo/.git/info/exclude", "e.log\n")
+    assert walk() == ["a.log", "b.log", "d.log", "f.py"]  # .gitignore above the repository's root is out, .ignore is not
+    assert walk(respect_ignore=False) == ["a.log", "b.log", "c.log", "d.log", "e.log", "f.py"]
+    write("home/.config/git/ignore", "")
+    home = str(tmp_path / "home")
+    assert ignore.global_file({"HOME": home}) == f"{home}/.config/git/ignore"
+    write("home/.gitconfig", "[user]\nexcludesfile = no\n[core]\n\texcludesFile = ~/mine  # note\n")
+    assert ignore.global_file({"HOME": home}) == f"{home}/mine"
+    assert ignore.global_file({"HOME": home, "XDG_CONFIG_HOME": "/x"}) == f"{home}/mine" and ignore.global_file({}) is None
+
+
+def test_git_source(spark, tmp_path, monkeypatch, capsys):
+    """A repository served over HTTP by git's own backend, cloned, read and reported from the command line."""
+    import subprocess
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    backend = os.path.join(subprocess.run(["git", "--exec-path"], capture_output=True, text=True, check=True).stdout.strip(), "git-http-backend")
+    if not os.path.exists(backend):
+        pytest.skip("git has no HTTP backend here")
+    repo = tmp_path / "r.git"
+    (repo / "sub").mkdir(parents=True)
+    (repo / "sub" / "a.py").write_text("x = 1\n# two\n")
+    git = ["git", "-c", "user.name=a", "-c", "user.email=a@b.c", "-C", str(repo)]
+    for args in (["init", "-q"], ["add", "."], ["commit", "-qm", "one"]):
+        subprocess.run([*git, *args], check=True)
+
+    class Backend(BaseHTTPRequestHandler):
+        def do_GET(self):
+            path, _, query = self.path.partition("?")
+            env = os.environ | {"GIT_PROJECT_ROOT": str(tmp_path), "GIT_HTTP_EXPORT_ALL": "1", "PATH_INFO": path, "QUERY_STRING": query, "REQUEST_METHOD": self.command, "CONTENT_TYPE": self.headers.get("content-type", ""), "HTTP_CONTENT_ENCODING": self.headers.get("content-encoding", ""), "GIT_PROTOCOL": self.headers.get("git-protocol", "")}
+            body = self.rfile.read(int(self.headers.get("content-length", 0)))
+            head, _, out = subprocess.run([backend], input=body, env=env, capture_output=True).stdout.partition(b"\r\n\r\n")
+            fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n"))
+            self.send_response(int(fields.pop("Status", "200").split()[0]))
+            for k, v in fields.items():
+                self.send_header(k, v)
+            self.end_headers()
+            self.wfile.write(out)
+
+        do_POST = do_GET
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Backend)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/r.git"
+    try:
+        assert [(r.rel_path, r.size) for r in files.read_git(spark, url).collect()] == [("sub/a.py", 12)]
+        monkeypatch.chdir(tmp_path)
+        assert cli.main([url, "-o", "csv"]) == 0
+        assert "Python,1,2," in capsys.readouterr().out
+        with pytest.raises(files.GitError):
+            files.read_git(spark, url.replace("r.git", "none.git"))
+    finally:
+        server.shutdown()
+
+
 def test_tree_to_counts(spark, tree):
     read = files.read_tree(spark, tree)
     got = {r.rel_path: (r.lang, r.total_lines, r.code_lines, r.comment_lines, r.blank_lines) for r in file_stats(read, LANGUAGES).collect()}
@@ -222,6 +319,36 @@ def test_reports(stats):
         report.render(stats, "x", view, "xml")
 
 
+def test_files_of_a_report_come_in_parts(stats):
+    view = report.View(verbosity=report.Verbosity.VERBOSE)
+    for output in report.FORMATS:
+        pieces = list(report.parts(stats, "x", view, output))
+        assert len(pieces) > 6 and "".join(pieces) == report.render(stats, "x", view, output)
+    built = report.build(stats, "x", view)
+    assert [[f["path"] for f in g["files_detail"]] for g in built["languages"]] == [["a/6.x", "4.x"], ["b|c/5.x", "a/3.x"], ["b/2.x", "a/1.x"]]
+    assert [f["path"] for f in built["languages"][0]["files_detail"]] == ["a/6.x", "4.x"]  # asked again, they come again
+
+
+def test_places_of_a_sort_over_tasks(spark):
+    rows = spark.range(5000).selectExpr("id", "id * 7919 % 1000 AS k").repartition(7)
+    got = {r.id: r.place for r in aggregate.with_place(rows, [F.desc("k"), F.asc("id")]).collect()}
+    want = sorted(range(5000), key=lambda i: (-(i * 7919 % 1000), i))
+    assert [got[i] for i in want] == list(range(1, 5001))
+    assert aggregate.with_place(rows.limit(0), [F.asc("id")]).count() == 0
+
+
+def test_candidates_need_no_shuffle(spark):
+    frame = spark.range(10).selectExpr("CAST(id AS STRING) AS rel_path", "'a.py' AS name")
+    assert "Exchange" not in detect.candidates(frame, LANGUAGES)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_completions(capsys):
+    for shell in ("bash", "zsh", "fish"):
+        assert cli.main(["completions", shell]) == 0
+        said = capsys.readouterr().out
+        assert "by-dir" in said and "langs" in said
+
+
 def test_language_listing():
     assert report.language_listing(["A", "Bb", "C"], 6) == "Total number of supported programming languages: 3\nA, \nBb, C.\n"
     lines = report.language_listing([x.name for x in LANGUAGES], 60).split("\n")
