@@ -51,10 +51,31 @@ def is_binary(sampled: Column, name: Column) -> Column:
     return (size > 0) & ~is_utf16(name) & ((F.instr(bytes_, "\0") > 0) | many)
 
 
+def _utf16(body: Column, little: bool) -> Column:
+    """Decoded UTF-16; surrogates without their partner and an odd byte at the end become U+FFFD."""
+    codec, size = "UTF-16LE" if little else "UTF-16BE", F.octet_length(body)
+    even = F.substring(body, 1, size - size % 2)
+    digits = F.hex(even)
+    units = F.regexp_extract_all(digits, F.lit("(....)"), F.lit(1))
+
+    def among(unit: Column, first: str, last: str) -> Column:
+        return F.coalesce(F.substring(unit, 3 if little else 1, 2).between(first, last), F.lit(False))
+
+    def mended(unit: Column, i: Column) -> Column:
+        high, low = among(unit, "D8", "DB"), among(unit, "DC", "DF")
+        alone = high & ~among(F.get(units, i + 1), "DC", "DF") | low & ~among(F.get(units, i - 1), "D8", "DB")
+        return F.when(alone, "FDFF" if little else "FFFD").otherwise(unit)
+
+    surrogates = digits.rlike("^(?:....)*?" + ("..D[89A-F]" if little else "D[89A-F].."))  # only then every unit is looked at
+    whole = F.when(surrogates, F.unhex(F.array_join(F.transform(units, mended), ""))).otherwise(even)
+    broken = (size % 2 == 1) & ~among(F.substring(digits, -4, 4), "D8", "DB")  # after a first surrogate the odd byte falls to its U+FFFD
+    return F.concat(F.decode(whole, codec), F.when(broken, "\ufffd").otherwise(""))
+
+
 def text(content: Column, name: Column, bom_len: Column) -> Column:
-    """Contents without the mark, decoded; bytes that are not valid UTF-8 become U+FFFD. UTF-16 must be well formed."""
+    """Contents without the mark, decoded; what is not valid becomes U+FFFD."""
     body = F.substring(content, bom_len + 1, F.octet_length(content))
-    return F.when(name == "UTF-16LE", F.decode(body, "UTF-16LE")).when(name == "UTF-16BE", F.decode(body, "UTF-16BE")).otherwise(F.make_valid_utf8(body.cast("string")))
+    return F.when(name == "UTF-16LE", _utf16(body, True)).when(name == "UTF-16BE", _utf16(body, False)).otherwise(F.make_valid_utf8(body.cast("string")))
 
 
 def lines(decoded: Column) -> Column:

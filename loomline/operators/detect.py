@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,33 +18,38 @@ from ..functions.content import words
 from ..sources.catalog import Language, split_patterns
 
 COMMENT_SCORE, KEYWORD_SCORE = 50, 10
+#: Maps that the table of patterns is cut into.
+_MAPS = 64
 _WORD = re.compile(r"[A-Za-z0-9_]+")
 
 
 def candidates(files: DataFrame, languages: list[Language], key: str = "rel_path", name: str = "name") -> DataFrame:
     """key, lang_idx, lang: each language that has a pattern for the file's name, once; case does not count. No shuffle."""
     each = candidate_lists(files, languages, name).select(key, F.explode("found").alias("lang_idx"))
-    return each.withColumn("lang", F.get(F.array(*(F.lit(x.name) for x in languages)), F.col("lang_idx")))
+    return each.withColumn("lang", F.get(_constant([x.name for x in languages], "array<string>"), F.col("lang_idx")))
 
 
 def candidate_lists(files: DataFrame, languages: list[Language], name: str = "name") -> DataFrame:
     """files with `found`, the candidates' numbers in catalog order; map-side only, no shuffle.
 
-    A literal map of the patterns (bounded by the catalog) stands in for the broadcast tables.
+    A literal table of the patterns (bounded by the catalog) stands in for a broadcast one; it is cut into small maps by
+    the patterns' checksums, as a map literal is searched from end to end.
     """
     names, endings, globs = split_patterns(languages)
 
-    def lookup(pairs: list[tuple[str, int]]) -> Column:
-        by: dict[str, list[int]] = {}
+    def lookup(pairs: list[tuple[str, int]]) -> Callable[[Column], Column]:
+        maps: list[dict[str, list[int]]] = [{} for _ in range(_MAPS)]
         for p, i in pairs:
-            by.setdefault(p, []).append(i)
-        return F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in by.items() for x in kv))
+            maps[zlib.crc32(p.encode()) % _MAPS].setdefault(p, []).append(i)
+        table = _constant(maps, "array<map<string, array<int>>>")
+        return lambda key: F.try_element_at(F.get(table, (F.crc32(key.cast("binary")) % _MAPS).cast("int")), key)
 
+    by_name, by_ending = lookup(names), lookup(endings)
     none = F.array().cast("array<int>")
     low = F.lower(F.col(name))
     dots = F.split(low, r"\.")
-    tails = F.transform(F.sequence(F.lit(2), F.size(dots)), lambda i: F.coalesce(F.try_element_at(lookup(endings), F.concat(F.lit("."), F.array_join(F.slice(dots, i, F.size(dots)), "."))), none))
-    found = F.concat(F.coalesce(F.try_element_at(lookup(names), low), none), F.when(F.size(dots) > 1, F.flatten(tails)).otherwise(none))
+    tails = F.transform(F.sequence(F.lit(2), F.size(dots)), lambda i: F.coalesce(by_ending(F.concat(F.lit("."), F.array_join(F.slice(dots, i, F.size(dots)), "."))), none))
+    found = F.concat(F.coalesce(by_name(low), none), F.when(F.size(dots) > 1, F.flatten(tails)).otherwise(none))
     for pattern, idx in globs:
         found = F.concat(found, F.when(low.rlike(pattern), F.array(F.lit(idx))).otherwise(none))
     return files.withColumn("found", F.sort_array(F.array_distinct(found)))

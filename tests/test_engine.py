@@ -99,6 +99,19 @@ def test_native_content_agrees(spark):
         assert r.b == worker.is_binary(sampled, r.e.encoding)
 
 
+@pytest.mark.parametrize("codec", ["UTF-16LE", "UTF-16BE"])
+def test_native_utf_16_takes_anything(spark, codec):
+    """Lone surrogates in any order and odd ends, against Python's decoder."""
+    rnd, order = random.Random(7), "little" if codec == "UTF-16LE" else "big"
+    drawn = [b"", b"a", b"\xd8\x00\xdc"]
+    for _ in range(300):
+        units = [rnd.choice([0x41, 0xD800, 0xDBFF, 0xDC00, 0xDFFF, 0x20AC, 0xFFFD, 0xD7FF, 0xE000]) for _ in range(rnd.randrange(9))]
+        drawn.append(b"".join(u.to_bytes(2, order) for u in units) + (b"\x41" if rnd.random() < 0.3 else b""))
+    rows = spark.createDataFrame([(bytearray(d),) for d in drawn], "c binary")
+    for r in rows.select("c", C.text(F.col("c"), F.lit(codec), F.lit(0)).alias("t")).collect():
+        assert r.t == bytes(r.c).decode(codec, "replace"), bytes(r.c)
+
+
 def test_formats(spark):
     one = spark.range(1)
     show = lambda c: one.select(c.alias("x")).first().x
