@@ -1,6 +1,7 @@
 """Command line: analyse a folder, file, zip archive or git repository; list languages; write a settings file; shell completions.
 
-python -m loomline [PATH] [options] | langs [--width N] [--catalog FILE] | init [FILE] [--force] | completions bash|zsh|fish
+python -m loomline [PATH] [options] | langs [--width N] [--catalog FILE] | init [FILE] [--force]
+    | completions bash|zsh|fish|elvish|powershell | serve [--host H] [--port N]
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config as C
-from . import report
+from . import report, web
 from .plans.analysis import file_stats
 from .sources import catalog
 from .sources.files import read_git, read_tree, read_zip
 
 
-COMMANDS = ("langs", "init", "completions")
+COMMANDS = ("langs", "init", "completions", "serve")
+SHELLS = ("bash", "zsh", "fish", "elvish", "powershell")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -76,6 +78,11 @@ def completions(shell: str) -> str:
         return f"#compdef loomline\n_arguments '*: :({words})' '*:file:_files'\n"
     if shell == "fish":
         return "".join([f"complete -c loomline -n __fish_use_subcommand -a {c}\n" for c in COMMANDS] + [f"complete -c loomline -{'l' if f.startswith('--') else 's'} {f.lstrip('-')}\n" for f in flags])
+    if shell == "elvish":
+        return f"set edit:completion:arg-completer[loomline] = {{|@words| put {words} }}\n"
+    if shell == "powershell":
+        listed = ", ".join(f"'{w}'" for w in words.split())
+        return f"Register-ArgumentCompleter -Native -CommandName loomline -ScriptBlock {{ param($word) @({listed}) | Where-Object {{ $_ -like \"$word*\" }} }}\n"
     raise ValueError(f"no completions for {shell}")
 
 
@@ -97,9 +104,16 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if argv[:1] == ["completions"]:
         p = argparse.ArgumentParser(prog="loomline completions")
-        p.add_argument("shell", choices=["bash", "zsh", "fish"])
+        p.add_argument("shell", choices=SHELLS)
         sys.stdout.write(completions(p.parse_args(argv[1:]).shell))
         return 0
+    if argv[:1] == ["serve"]:
+        p = argparse.ArgumentParser(prog="loomline serve")
+        p.add_argument("--host", default="127.0.0.1")
+        p.add_argument("--port", type=int, default=3000)
+        a = p.parse_args(argv[1:])
+        web.server(SparkSession.builder.appName("loomline").getOrCreate(), a.host, a.port).serve_forever()
+        return 0
     given = vars(parser().parse_args(argv))
     named = given.pop("config")
     config = C.merge(C.from_file(named) if named else C.discover(), given)

@@ -9,6 +9,7 @@ binaryFile is not used: it drops empty files and names that begin with an unders
 from __future__ import annotations
 
 import contextlib
+import io
 import os
 import uuid
 import zipfile
@@ -232,14 +233,14 @@ class ZipError(ValueError):
     pass
 
 
-def read_zip(spark: SparkSession, path: str | Path, options: Walk = Walk()) -> DataFrame:
-    """An archive's files as rows, by the same rules; unpacked bytes are counted as they come, not as headers claim."""
+def read_zip(spark: SparkSession, path: str | Path | bytes, options: Walk = Walk()) -> DataFrame:
+    """The files of an archive, given by its path or its bytes, as rows, by the same rules; unpacked bytes are counted as they come, not as headers claim."""
     import shutil
 
-    if os.path.getsize(path) > ZIP_LIMIT:
+    if (len(path) if isinstance(path, bytes) else os.path.getsize(path)) > ZIP_LIMIT:
         raise ZipError("the archive is too large")
     try:
-        archive = zipfile.ZipFile(path)
+        archive = zipfile.ZipFile(io.BytesIO(path) if isinstance(path, bytes) else path)
     except zipfile.BadZipFile as e:
         raise ZipError(str(e)) from e
     top, total = mounted(spark, "unzipped"), 0

@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from loomline import cli, config, report
+from loomline import cli, config, report, web
 from loomline.functions import content as C
 from loomline.functions import formats as M
 from loomline.operators import aggregate, detect, worker
@@ -220,6 +220,40 @@ def test_ignore_files_of_all_kinds(tmp_path):
     assert ignore.global_file({"HOME": home, "XDG_CONFIG_HOME": "/x"}) == f"{home}/mine" and ignore.global_file({}) is None
 
 
+def test_web_service(spark, tree, tmp_path):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    path = tmp_path / "a.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for full, rel, _, _ in files.listing(tree):
+            z.write(full, rel)
+    running = web.server(spark, port=0)
+    threading.Thread(target=running.serve_forever, daemon=True).start()
+
+    def ask(where, body=None, kind="application/json"):
+        request = urllib.request.Request(f"http://127.0.0.1:{running.server_port}{where}", body, {"content-type": kind})
+        try:
+            with urllib.request.urlopen(request, timeout=60) as answer:
+                return answer.status, answer.read().decode()
+        except urllib.error.HTTPError as e:
+            return e.code, json.loads(e.read())["error"]
+
+    def form(content):
+        return b'--XX\r\ncontent-disposition: form-data; name="file"; filename="a.zip"\r\n\r\n' + content + b"\r\n--XX--\r\n"
+
+    try:
+        assert ask("/health") == (200, "ok") and ask("/")[0] == 200 and ask("/none")[0] == 404 and ask("/api/none", b"{}")[0] == 404
+        status, text = ask("/api/analyze/zip", form(path.read_bytes()), "multipart/form-data; boundary=XX")
+        assert status == 200 and {x["name"]: x["files"] for x in json.loads(text)["languages"]} == {"Python": 4, "Rust": 1} and text.count("\n") == 1
+        assert ask("/api/analyze/zip", form(b"no archive"), "multipart/form-data; boundary=XX")[0] == 400
+        assert ask("/api/analyze/zip", b"x", "text/plain")[0] == 400 and ask("/api/analyze/zip", form(b"x")[:-12], "multipart/form-data; boundary=XX")[0] == 400
+        assert ask("/api/analyze/git", b'{"url": "ssh://x/y"}')[0] == 400 and ask("/api/analyze/git", b"[]")[0] == 400 and ask("/api/analyze/git", b'{"url": 1}')[0] == 400
+    finally:
+        running.shutdown()
+
+
 def test_git_source(spark, tmp_path, monkeypatch, capsys):
     """A repository served over HTTP by git's own backend, cloned, read and reported from the command line."""
     import subprocess
@@ -356,7 +390,7 @@ def test_candidates_need_no_shuffle(spark):
 
 
 def test_completions(capsys):
-    for shell in ("bash", "zsh", "fish"):
+    for shell in cli.SHELLS:
         assert cli.main(["completions", shell]) == 0
         said = capsys.readouterr().out
         assert "by-dir" in said and "langs" in said
