@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from pathlib import Path
@@ -46,3 +47,13 @@ def drop_table(df: DataFrame) -> None:
     if path:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now.
+
+    It deletes them when the driver's JVM finds that no plan refers to them, which may take it half an hour; until then
+    the steps of a long job add up on the executors' disks.
+    """
+    gc.collect()  # the Python sides of plans hold the JVM's
+    spark._jvm.System.gc()
