@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import os
+import shutil
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from . import config, report
 from .operators.aggregate import SortKey
 from .queries import query
-from .sources import catalog
+from .sources import catalog, files
+
+@contextlib.contextmanager
+def _folder(spark: SparkSession) -> Iterator[str]:
+    """A folder in the shared one for as long as it is needed."""
+    path = files.mounted(spark, "settings")
+    os.makedirs(path)
+    try:
+        yield path
+    finally:
+        shutil.rmtree(path, True)
+
 
 _BAD = {
     "a pattern shared without keywords": '{A: {file_patterns: ["*.x"]}, B: {file_patterns: ["*.x"]}}',
@@ -25,7 +39,7 @@ _BAD = {
 @query(f"SELECT * FROM (VALUES {', '.join(f"('{k}', true)" for k in _BAD)}, ('a sound one', false)) t(catalog, refused)")
 def a9_catalog_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = []
-    with tempfile.TemporaryDirectory() as folder:  # read and written by the driver alone
+    with _folder(spark) as folder:
         for name, text in (_BAD | {"a sound one": '{A: {file_patterns: ["*.x"], keywords: ["k"]}, B: {file_patterns: ["*.x"], keywords: ["l"]}}'}).items():
             path = Path(folder) / "c.json5"
             path.write_text(text)
@@ -40,7 +54,7 @@ def a9_catalog_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT * FROM (VALUES ('by_dir', 'true'), ('exclude', 'a,b'), ('output', 'csv'), ('path', 'sub'), ('precision', '6'), ('sort_by', 'size'), ('sort_direction', 'asc'), ('top_languages', '3')) t(setting, value)""")
 def a10_a12_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file's settings with those of the command line on top: what differs from the defaults."""
-    with tempfile.TemporaryDirectory() as folder:
+    with _folder(spark) as folder:
         path = Path(folder) / "s.toml"
         path.write_text('path = "sub"\nprecision = 9\nexclude = ["a"]\nunknown = 1\ntop_languages = 3\noutput = "json"\n[display]\nsort_by = "size"\n')
         merged = config.merge(config.from_file(path), {"exclude": ["b"], "sort_direction": "asc", "output": "csv", "by_dir": True, "min_lines": None})
@@ -83,7 +97,7 @@ def g9_language_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT true AS defaults, true AS refused, 22::BIGINT AS settings, 'lines' AS sort_by")
 def g10_settings_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The file that `init` writes holds every setting, says nothing that is not the default, and is not overwritten."""
-    with tempfile.TemporaryDirectory() as folder:
+    with _folder(spark) as folder:
         path = Path(folder) / config.FILE
         config.init(path)
         try:
