@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loomline.llm import bpe, exact_dedup, mixing, quality, simhash
-from loomline.llm.common import drop_table, stage_table, table
+from loomline.llm.common import drop_table, release, stage_table, table
 from loomline.llm.queries import TICKETS
 
 
@@ -21,21 +21,25 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
+    release(spark)  # the stage before is written
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints the document with the least doc_id stays."""
-    return simhash.drop_near_copies(docs)
+    release(spark)
+    return simhash.drop_near_copies(docs, written=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mix."""
+    release(spark)
     return mixing.in_mixed_order(docs, TICKETS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, mix_place (from 0, in the order of the mix) and the digests of token ids and decoded text."""
+    release(spark)
     placed = mixing.with_written_order(docs.select("doc_id", "text"), "mix_place")
     return bpe.digests(placed, public_tokenizers.path("word_bpe_49k.json"), ["mix_place"])
 

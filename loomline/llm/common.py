@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..storage import drop_table, shared_dir, stage_table  # noqa: F401  for the operators
+from ..storage import drop_table, release, shared_dir, stage_table  # noqa: F401  for the operators
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

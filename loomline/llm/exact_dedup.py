@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, drop_table, fresh, masked, stage_table
+from .common import ascii_lower, drop_table, fresh, masked, release, stage_table
 
 #: Bytes of the first digits; later ones are sixteen times the one before.
 DIGITS = (64, 1024)
@@ -42,6 +42,7 @@ def group_copies(rows: DataFrame, text: str = "text", order: str = "doc_id", kee
     Where a column of rows has one of these names, the new one gets underscores at its end (see `new_names`).
     """
     names = [*(c for c in rows.columns if keep_text or c != text), *new_names(rows)]
+    spark = rows.sparkSession
     rows, name = masked(rows)
     text, order = name(text), name(order)
     keep, size, kept, group, count, uid, ended, digit, rest = "keep", "size", "kept", "group", "count", "uid", "ended", "digit", "rest"
@@ -68,6 +69,8 @@ def group_copies(rows: DataFrame, text: str = "text", order: str = "doc_id", kee
         split = matched.select(*own, *carry, F.col("next").alias(group), F.coalesce("c", F.lit(1)).cast("long").alias(count), F.monotonically_increasing_id().alias(uid), goes_on.alias("goes_on"))
         split = stage_table(split, "radix-rows")
         drop_table(groups)
+        del here, groups, matched
+        release(spark)
         seen.append(split)
         active = split.where("goes_on").select(*own, *([] if keep_text else [rest]), group)
         if active.isEmpty():

@@ -283,11 +283,20 @@ def simhash(documents: DataFrame) -> DataFrame:
     return marked.join(found, F.col("fp") == F.col("other")).select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def drop_near_copies(documents: DataFrame) -> DataFrame:
-    """The document with the least doc_id of each component (one row of it), all columns as they are."""
+def drop_near_copies(documents: DataFrame, written: bool = False) -> DataFrame:
+    """The document with the least doc_id of each component (one row of it), all columns as they are.
+
+    Of documents that are read from files as they are (`written`), a row is known by its file and its number there, so that only
+    the fingerprints are staged; of any others the rows are, with a number each.
+    """
     rows, name = masked(documents)
-    marked = stage_table(with_fingerprint(rows, "fp", name("text")).withColumn("row", F.monotonically_increasing_id()), "simhash-docs")
-    slim = marked.select(F.col(name("doc_id")).alias("doc"), "fp", "row")
-    found = classes(slim).withColumnRenamed("fp", "other")
-    best = slim.join(found, F.col("fp") == F.col("other")).groupBy("root").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "row")).getField("row").alias("kept"))
-    return marked.join(best, F.col("row") == F.col("kept"), "left_semi").select(*rows.columns).toDF(*documents.columns)
+    if written:
+        marked = documents.select(*(F.col(f"`{c}`").alias(name(c)) for c in documents.columns), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        slim = stage_table(with_fingerprint(marked.select(F.col(name("doc_id")).alias("doc"), "file", "row", F.col(name("text")).alias("text")), "fp", keep_text=False), "simhash-docs")
+    else:
+        marked = stage_table(with_fingerprint(rows, "fp", name("text")).withColumn("file", F.lit("")).withColumn("row", F.monotonically_increasing_id()), "simhash-docs")
+        slim = marked.select(F.col(name("doc_id")).alias("doc"), "fp", "file", "row")
+    found = classes(slim.select("doc", "fp")).withColumnRenamed("fp", "other")
+    best = slim.join(found, F.col("fp") == F.col("other")).groupBy("root").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "file", "row")).alias("kept"))
+    kept = best.select(F.col("kept.file").alias("kept_file"), F.col("kept.row").alias("kept_row"))
+    return marked.join(kept, (F.col("row") == F.col("kept_row")) & (F.col("file") == F.col("kept_file")), "left_semi").select(*rows.columns).toDF(*documents.columns)

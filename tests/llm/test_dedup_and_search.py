@@ -94,6 +94,9 @@ def test_simhash(spark):
     kept = simhash.drop_near_copies(table(spark, rows))
     assert kept.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
     assert kept.count() == len(set(roots))
+    read = common.stage_table(table(spark, rows).repartition(3), "test")
+    again = simhash.drop_near_copies(read, written=True)
+    assert again.columns == kept.columns and sorted(map(str, (r.doc_id for r in again.collect()))) == sorted(map(str, (r.doc_id for r in kept.collect())))
 
 
 @pytest.mark.parametrize("shard", [4, 1024])
