@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from .common import append_columns
 from .license_texts import TEXTS
 
-#: The base phrases and their labels.
+#: The operator's own base phrases and their labels; op4_license_scan brings those of its contract.
 PHRASES = (("the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
 #: Label and wording of licences, grants and notices.
@@ -347,6 +347,6 @@ def scan_licenses(documents: DataFrame, phrases: Sequence[tuple[str, str]] = PHR
     return append_columns(documents, "text", [T.StructField(k, t) for k, t in kinds.items()], make, keep_text)
 
 
-def license_report(documents: DataFrame) -> DataFrame:
+def license_report(documents: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """The digest columns of every document."""
-    return scan_licenses(documents.select("doc_id", "text"), keep_text=False).drop("spans")
+    return scan_licenses(documents.select("doc_id", "text"), phrases, templates, keep_text=False).drop("spans")

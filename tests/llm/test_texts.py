@@ -267,6 +267,26 @@ def test_base_columns_are_those_of_sql(spark):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_op4_base_phrases_are_its_contracts(spark, tmp_path):
+    """The MIT phrase begins with `under`; without it the method may give the label, but there is no base place."""
+    from loomline.llm import queries
+
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    rnd, vocab = random.Random(11), "under the mit license apache version 2 cc by nc of x".split()
+    said = [*phrases, "the mit license", "Released under the MIT License."]
+    rows = ODD + [(100 + k, " ".join(rnd.choice(said if rnd.random() < 0.4 else vocab) for _ in range(rnd.randrange(12)))) for k in range(300)]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op4_license_scan(spark, str(tmp_path)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score").collect()
+    want = []
+    for i, t in rows:
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        at = [(s, x) for p, x in phrases.items() for s in naive_places(ws, p)]
+        starts = [s for s, _ in at]
+        want.append((i, len(ws), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at}))))
+    assert sorted((tuple(r)[:6] for r in got), key=str) == sorted(want, key=str)
+    assert [tuple(r)[2:] for r in got if r.doc_id == 5] == [(0, None, None, "", "mit", 1.0)] * 2
+
+
 def test_dense_repeats_do_not_push_out_a_match():
     parts = [" ".join(f"{c}{i}z" for i in range(n)) for c, n in (("s", 200), ("t", 100))]
     scan = license_scan.Scanner(templates=[("x", " ".join([*(f"a b c y{i}" for i in range(12)), *parts]))]).scan
