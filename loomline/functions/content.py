@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,25 +20,41 @@ def sample(content: Column) -> Column:
     return F.when(size <= SAMPLE, content).otherwise(F.concat(F.substring(content, 1, SAMPLE), F.substring(content, middle + 1, SAMPLE)))
 
 
-def _zeros(sampled: Column, odd: bool) -> Column:
-    """Zero bytes at even or odd offsets."""
-    digits = F.regexp_replace(F.hex(sampled), "(..)(..)?", "$2," if odd else "$1,")
-    return ((F.length(digits) - F.length(F.replace(digits, F.lit("00,"), F.lit("")))) / 3).cast("int")
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x worked out once a row, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _zeros_at_even(chars: Column) -> Column:
+    """Zero bytes at even offsets, of bytes as ISO-8859-1: runs of pairs that begin with one are taken out, with half a pair at the end."""
+    return F.ceil((F.length(chars) - F.length(F.regexp_replace(chars, r"(?s)\G((?:[^\x00].)*+)(?:\x00.?)++", "$1"))) / 2)
 
 
 def encoding(sampled: Column) -> Column:
     """STRUCT<encoding, bom_len> from a byte order mark or, without one, from where zero bytes lie."""
-    head = F.hex(F.substring(sampled, 1, 3))
-    even, odd, size = _zeros(sampled, False), _zeros(sampled, True), F.octet_length(sampled)
-    likely = (size >= 4) & (even + odd >= F.floor(size / 4))
 
     def of(name: str, mark: int) -> Column:
         return F.struct(F.lit(name).alias("encoding"), F.lit(mark).alias("bom_len"))
 
-    return (
-        F.when(head == "EFBBBF", of("UTF-8", 3)).when(head.startswith("FFFE"), of("UTF-16LE", 2)).when(head.startswith("FEFF"), of("UTF-16BE", 2))
-        .when(likely & (odd >= 2 * even), of("UTF-16LE", 0)).when(likely & (even >= 2 * odd), of("UTF-16BE", 0)).otherwise(of("UTF-8", 0))
-    )
+    def by_zeros(chars: Column) -> Column:
+        size = F.length(chars)
+
+        def by_place(zeros: Column, even: Column) -> Column:
+            return F.when(zeros - even >= 2 * even, of("UTF-16LE", 0)).when(even >= 2 * (zeros - even), of("UTF-16BE", 0)).otherwise(of("UTF-8", 0))
+
+        def likely(zeros: Column) -> Column:
+            return F.when((size >= 4) & (zeros >= F.floor(size / 4)), once(_zeros_at_even(chars), lambda even: by_place(zeros, even))).otherwise(of("UTF-8", 0))
+
+        return once(size - F.length(F.replace(chars, F.lit("\0"), F.lit(""))), likely)
+
+    def by_mark(content: Column) -> Column:
+        head = F.hex(F.substring(content, 1, 3))
+        return (
+            F.when(head == "EFBBBF", of("UTF-8", 3)).when(head.startswith("FFFE"), of("UTF-16LE", 2)).when(head.startswith("FEFF"), of("UTF-16BE", 2))
+            .otherwise(once(F.decode(content, "ISO-8859-1"), by_zeros))
+        )
+
+    return once(sampled, by_mark)
 
 
 def is_utf16(name: Column) -> Column:

@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import re
 import zipfile
 
 import pytest
@@ -112,6 +113,41 @@ def test_native_utf_16_takes_anything(spark, codec):
         assert r.t == bytes(r.c).decode(codec, "replace"), bytes(r.c)
 
 
+def test_native_encoding_of_random_bytes_agrees(spark):
+    rnd = random.Random(17)
+    drawn = [bytes(rnd.choices(b"\0A\n\xff\xfe\xef\xbb\xbf\xd8", weights=[rnd.choice([1, 9]), 6, 1, 1, 1, 1, 1, 1, 1], k=rnd.randrange(24))) for _ in range(1500)]
+    drawn += [bytes(x for pair in zip(a, b) for x in pair) + t for a, b in ((b"\0" * 9, b"abcdefg\0\0"), (b"a\0cdefghi", b"\0" * 9)) for t in (b"", b"\0", b"z")]
+    rows = spark.createDataFrame([(bytearray(d),) for d in drawn], "c binary")
+    for r in rows.select("c", C.encoding(F.col("c")).alias("e")).collect():
+        assert (r.e.encoding, r.e.bom_len) == worker.encoding(bytes(r.c)), bytes(r.c)
+
+
+@pytest.mark.parametrize("name", ["c3_c4_encoding"])
+def test_time_of_long_texts(spark, tmp_path, name):
+    """Over 12 million characters, or four times as many; with some steps for each byte or word it takes several times as long. Rows against plain code."""
+    import hashlib
+    import time
+
+    from loomline import queries
+
+    made = "substring(repeat(concat('The cat and the dog of ', id % 6, ' ', repeat('é', int(id % 3)), ' # '), 1000), 1, 25000)"
+    texts = [(f"The cat and the dog of {k} {'é' * (k % 3)} # " * 1000)[:25000] for k in range(6)]
+    words = [re.findall("[a-z0-9_]+", t.lower()) for t in texts]
+    marks = [("UTF-8", 3), ("UTF-16LE", 2), ("UTF-16BE", 2), ("UTF-16LE", 0), ("UTF-16BE", 0), ("UTF-8", 0)]
+    want = {
+        "c3_c4_encoding": marks,
+        "a7_c5_decode": [(hashlib.md5(t.encode()).hexdigest(),) for t in texts],
+        "c17_scores": [(50 + 10 * (w.count("the") + w.count("and")),) for w in words],
+    }[name]
+    for n in (6, 1920 if name == "c17_scores" else 480):  # the first starts workers and compiles
+        spark.range(n).selectExpr("id AS doc_id", f"{made} AS text").write.parquet(str(tmp_path / f"{n}" / "documents.parquet"))
+        began = time.monotonic()
+        got = {r.doc_id: tuple(r)[1:] for r in queries.QUERIES[name](spark, str(tmp_path / f"{n}")).collect()}
+        took = time.monotonic() - began
+        assert got == {k: want[k % 6] for k in range(n)}
+    assert took < 6
+
+
 def test_formats(spark):
     one = spark.range(1)
     show = lambda c: one.select(c.alias("x")).first().x
