@@ -71,6 +71,17 @@ def is_binary(sampled: Column, name: Column) -> Column:
 
 def _utf16(body: Column, little: bool) -> Column:
     """Decoded UTF-16; surrogates without their partner and an odd byte at the end become U+FFFD."""
+    unit, high, low = (("." + c if little else c + ".") for c in (r"[^\xD8-\xDF]", r"[\xD8-\xDB]", r"[\xDC-\xDF]"))
+    valid = rf"(?s)^(?:{unit}|{high}{low})*+\z"  # possessive: a loop, whatever the length
+
+    def decoded(b: Column) -> Column:
+        return F.when(F.decode(b, "ISO-8859-1").rlike(valid), F.decode(b, "UTF-16LE" if little else "UTF-16BE")).otherwise(_mended_utf16(b, little))
+
+    return once(body, decoded)
+
+
+def _mended_utf16(body: Column, little: bool) -> Column:
+    """As _utf16, for what is not valid."""
     codec, size = "UTF-16LE" if little else "UTF-16BE", F.octet_length(body)
     even = F.substring(body, 1, size - size % 2)
     digits = F.hex(even)

@@ -122,7 +122,7 @@ def test_native_encoding_of_random_bytes_agrees(spark):
         assert (r.e.encoding, r.e.bom_len) == worker.encoding(bytes(r.c)), bytes(r.c)
 
 
-@pytest.mark.parametrize("name", ["c3_c4_encoding"])
+@pytest.mark.parametrize("name", ["c3_c4_encoding", "a7_c5_decode"])
 def test_time_of_long_texts(spark, tmp_path, name):
     """Over 12 million characters, or four times as many; with some steps for each byte or word it takes several times as long. Rows against plain code."""
     import hashlib
