@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.content import words
+from ..functions.content import once
 from ..sources.catalog import Language, split_patterns
 
 COMMENT_SCORE, KEYWORD_SCORE = 50, 10
@@ -84,9 +84,14 @@ def traits(language: Language) -> dict:
     }
 
 
-def _score(text: Column, tokens: Column, c: Column) -> Column:
+def _word_count(text: Column, word: Column) -> Column:
+    """How often a word of ASCII letters, digits and underscores stands in a text by itself; ASCII case does not count."""
+    return F.regexp_count(text, F.concat(F.lit("(?i)(?<![A-Za-z0-9_])"), word, F.lit("(?![A-Za-z0-9_])")))
+
+
+def _score(text: Column, c: Column) -> Column:
     comments = F.size(F.filter(c["line"], lambda t: F.contains(text, t))) + F.size(F.filter(c["block"], lambda b: F.contains(text, b["a"]) & F.contains(text, b["b"])))
-    plain = F.aggregate(c["plain"], F.lit(0), lambda n, k: n + F.size(F.filter(tokens, lambda w: w == k)))
+    plain = F.aggregate(c["plain"], F.lit(0), lambda n, k: n + _word_count(text, k))
 
     def occurs(k: Column) -> Column:
         return ((F.length(text) - F.length(F.replace(text, k["k"], F.lit("")))) / F.length(k["k"])).cast("int")
@@ -94,13 +99,13 @@ def _score(text: Column, tokens: Column, c: Column) -> Column:
     special = F.aggregate(c["special"], F.lit(0), lambda n, k: n + occurs(k))
     matched = F.aggregate(c["special"], F.lit(0), lambda n, k: n + occurs(k) * k["n"])
     solid = F.length(F.regexp_replace(text, r"(?U)\s", ""))
-    thin = c["symbols"] & (F.size(tokens) > 0) & (solid > 0) & (matched * 2 < solid)
+    thin = c["symbols"] & text.rlike("[A-Za-z0-9_]") & (solid > 0) & (matched * 2 < solid)
     return F.when(thin, 0).otherwise(comments * COMMENT_SCORE + (plain + special) * KEYWORD_SCORE)
 
 
 def score(text: Column, language: Language) -> Column:
     """How well a text fits one language: comment tokens that occur and keywords by their number."""
-    return _score(text, F.transform(words(text), F.lower), _constant(traits(language), _TRAITS))
+    return once(text, lambda t: _score(t, _constant(traits(language), _TRAITS)))
 
 
 def best_candidate(text: Column, found: Column, languages: list[Language]) -> Column:
@@ -108,8 +113,8 @@ def best_candidate(text: Column, found: Column, languages: list[Language]) -> Co
 
     The catalog is one literal that candidates are looked up in, so a row costs as many scores as it has candidates.
     """
-    known, tokens = _constant([traits(x) for x in languages], f"array<{_TRAITS}>"), F.transform(words(text), F.lower)
-    scored = F.transform(found, lambda i: F.struct(_score(text, tokens, F.get(known, i)).alias("score"), i.alias("i")))
+    known = _constant([traits(x) for x in languages], f"array<{_TRAITS}>")
+    scored = F.transform(found, lambda i: F.struct(_score(text, F.get(known, i)).alias("score"), i.alias("i")))
     return F.array_max(F.filter(scored, lambda s: s["score"] > 0))["i"]
 
 
